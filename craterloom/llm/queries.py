@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from craterloom.llm import chat, exact_dedup, langid, topk
+from craterloom.llm import chat, exact_dedup, langid, packing, topk, wavelet
 
 QUERIES = {
     f.__name__: f
     for f in (
         chat.op1_preference_format,
         langid.op2_language_id,
+        wavelet.op5_wavelet_shards,
+        packing.op7_best_two_fit,
         exact_dedup.op8_grace_dedup,
         topk.op10_ball_tree_topk,
     )
