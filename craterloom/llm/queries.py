@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from craterloom.llm import chat, exact_dedup, langid, packing, topk, wavelet
+from craterloom.llm import bpe, chat, exact_dedup, langid, packing, topk, wavelet
 
 QUERIES = {
     f.__name__: f
     for f in (
         chat.op1_preference_format,
         langid.op2_language_id,
+        bpe.op4_bpe_stream,
         wavelet.op5_wavelet_shards,
         packing.op7_best_two_fit,
         exact_dedup.op8_grace_dedup,
