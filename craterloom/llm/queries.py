@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from craterloom.llm import bpe, chat, exact_dedup, langid, packing, topk, wavelet
+from craterloom.llm import bpe, chat, exact_dedup, langid, licenses, packing, topk, wavelet
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         langid.op2_language_id,
         bpe.op4_bpe_stream,
         wavelet.op5_wavelet_shards,
+        licenses.op6_license_scan,
         packing.op7_best_two_fit,
         exact_dedup.op8_grace_dedup,
         topk.op10_ball_tree_topk,
