@@ -132,12 +132,15 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     each = max(1, landmarks // len(languages))
     chosen = [i for x in languages for i in by[x][:each]]
     m = len(chosen)
-    present = np.zeros((CLASSES**3, m), np.float32)
+    known = np.unique(np.concatenate([sets[i] for i in chosen]))  # only a landmark's n-grams can weigh
+    row = np.full(CLASSES**3, len(known))
+    row[known] = np.arange(len(known))
+    present = np.zeros((len(known) + 1, m), np.float32)
     for j, i in enumerate(chosen):
-        present[sets[i], j] = 1
+        present[row[sets[i]], j] = 1
     norm = np.sqrt(np.array([max(1, len(s)) for s in sets], np.float64))
     present /= norm[chosen].astype(np.float32)
-    k = np.stack([present[s].sum(0, dtype=np.float64) for s in sets]) / norm[:, None]
+    k = np.stack([present[row[s]].sum(0, dtype=np.float64) for s in sets]) / norm[:, None]
     values, vectors = np.linalg.eigh(k[chosen])
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # k_mm ** -1/2
@@ -147,7 +150,9 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     y = np.array([[float(x == l) for l in languages] for x in langs])
     a = (z * w[:, None]).T @ z + ridge * w.sum() / len(texts) * np.eye(z.shape[1])
     alpha = root @ np.linalg.solve(a, (z * w[:, None]).T @ y)
-    return Model(languages, letters, present.astype(np.float64) @ alpha)
+    weights = np.zeros((CLASSES**3, len(languages)))
+    weights[known] = present[:-1] @ alpha
+    return Model(languages, letters, weights)
 
 
 def labelled_sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, per_language: int) -> tuple[list, list]:
