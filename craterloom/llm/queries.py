@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from craterloom.llm import bpe, chat, exact_dedup, langid, licenses, packing, topk, wavelet
+from craterloom.llm import bpe, chat, exact_dedup, langid, licenses, near_dedup, packing, topk, wavelet
 
 QUERIES = {
     f.__name__: f
@@ -14,6 +14,7 @@ QUERIES = {
         licenses.op6_license_scan,
         packing.op7_best_two_fit,
         exact_dedup.op8_grace_dedup,
+        near_dedup.op9_minhash_bayes,
         topk.op10_ball_tree_topk,
     )
 }
