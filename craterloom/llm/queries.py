@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from craterloom.llm import bpe, chat, exact_dedup, langid, licenses, near_dedup, packing, topk, wavelet
+from craterloom.llm import bpe, chat, exact_dedup, langid, licenses, near_dedup, packing, suffix_array, topk, wavelet
 
 QUERIES = {
     f.__name__: f
     for f in (
         chat.op1_preference_format,
         langid.op2_language_id,
+        suffix_array.op3_suffix_array_dedup,
         bpe.op4_bpe_stream,
         wavelet.op5_wavelet_shards,
         licenses.op6_license_scan,
