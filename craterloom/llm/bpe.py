@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from craterloom.llm.chunks import ChunkCache, ragged, tokenizer_path
+from craterloom.llm.chunks import ChunkCache, in_order, ragged, tokenizer_path
 from craterloom.llm.core import slices, text_bytes
 
 BLOCK = 1024
@@ -174,8 +174,8 @@ class Bpe:
             out += self.pretoken(p)
         return out
 
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
-        return list(map(self.encode, texts))
+    def encode_many(self, texts: list[str]):
+        return in_order(list(map(self.encode, texts)))
 
     def decode(self, ids: Iterable[int]) -> str:
         machine = Utf8Machine()

@@ -9,14 +9,17 @@ keeps a bounded cache.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 #: Entries and pooled ids after which a cache starts anew.
-CACHE_CHUNKS, CACHE_IDS = 400_000, 4_000_000
+CACHE_CHUNKS, CACHE_IDS = 900_000, 9_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -62,10 +65,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class ChunkCache:
-    """Ids of chunks; encode(list of chunk texts) gives a list of id lists."""
+    """Ids of chunks; encode(chunk texts) gives them in some order: their indices, all ids in a row, ids of each."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], tuple[list[int], np.ndarray, np.ndarray]], uncased: bool = False):
+        """uncased: the tokenizer drops white space and lower-cases, so chunks may be folded before they are looked up."""
+        self.encode, self.uncased = encode, uncased
         self.reset()
 
     def reset(self) -> None:
@@ -74,9 +78,7 @@ class ChunkCache:
         self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def _add(self, chunks: list[bytes]) -> None:
-        ids = self.encode([c.decode("utf-8") for c in chunks])
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.uint32, int(lengths.sum()))
+        which, flat, lengths = self.encode([c.decode("utf-8") for c in chunks])
         n, m = len(self.at), len(chunks)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
@@ -86,7 +88,7 @@ class ChunkCache:
         self.start[n:n + m] = self.used + np.cumsum(lengths) - lengths
         self.length[n:n + m] = lengths
         self.used += len(flat)
-        self.at.update(zip(chunks, range(n, n + m)))
+        self.at.update(zip(map(chunks.__getitem__, which), range(n, n + m)))
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after the other, and the offset of each row's ids (n + 1 of them)."""
@@ -99,6 +101,8 @@ class ChunkCache:
     def codes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of the distinct chunk at each place; the cache entry of each; chunk offsets of the rows."""
         starts = chunk_starts(data, offsets)
+        if self.uncased and not _has_special(data):
+            data = _FOLDED[data]
         of_row = np.searchsorted(starts, offsets)
         if not len(starts):
             return np.empty(0, np.int64), np.empty(0, np.int64), of_row
@@ -108,12 +112,71 @@ class ChunkCache:
         chunks = coded.dictionary.to_pylist()
         if len(self.at) + len(chunks) > CACHE_CHUNKS or self.used > CACHE_IDS:
             self.reset()
-        if new := [c for c in chunks if c not in self.at]:
-            self._add(new)
-        entries = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+        entries = list(map(self.at.get, chunks))
+        if new := [i for i, e in enumerate(entries) if e is None]:
+            self._add([chunks[i] for i in new])
+            for i in new:
+                entries[i] = self.at[chunks[i]]
+        entries = np.array(entries, np.int64)
         return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), entries, of_row
 
 
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[ord("A"):ord("Z") + 1] += 32
+_FOLDED[[9, 10, 11, 12, 13]] = 32
+
+
+def _has_special(data: np.ndarray) -> bool:
+    """Whether the beginning of a special token stands there; those are matched before letters are lowered."""
+    at = np.flatnonzero(data[:-1] == ord("<"))
+    return bool((data[at + 1] == ord("|")).any())
+
+
+#: One pre-token for sure: letters of these two blocks (each stays one letter in lower case), or full stops and commas.
+_SIMPLE = re.compile(r"\s*(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[.,]+)", re.ASCII)
+#: Simple chunks that are encoded as one text.
+_TOGETHER = 200
+
+
+class _WordEnds:
+    """Encodes simple chunks many at a time, where each pre-token's last token is marked as a word's end."""
+
+    def __init__(self, tokenizer, suffix: str):
+        self.tokenizer = tokenizer
+        vocab = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def __call__(self, chunks: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        simple = [i for i, c in enumerate(chunks) if _SIMPLE.fullmatch(c)]
+        which, flat, lengths = [], [], []
+        for i in range(0, len(simple), 50 * _TOGETHER):
+            groups = [simple[j:j + _TOGETHER] for j in range(i, min(len(simple), i + 50 * _TOGETHER), _TOGETHER)]
+            texts = [" ".join([chunks[k] for k in g]) for g in groups]
+            for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids)
+                stop = np.flatnonzero(self.ends[ids]) + 1
+                if len(stop) == len(g) and stop[-1] == len(ids):
+                    which += g
+                    flat.append(ids)
+                    lengths.append(np.diff(stop, prepend=0))
+        if len(which) < len(chunks):
+            done = set(which)
+            rest = [i for i in range(len(chunks)) if i not in done]
+            more = plain(self.tokenizer, [chunks[i] for i in rest])
+            which, flat, lengths = which + rest, [*flat, more[1]], [*lengths, more[2]]
+        return which, np.concatenate(flat), np.concatenate(lengths)
+
+
+def in_order(ids: list[list[int]]) -> tuple[range, np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return range(len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+
+
+def plain(tokenizer, chunks: list[str]) -> tuple[range, np.ndarray, np.ndarray]:
+    return in_order([e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+
+
 _LIBRARY: dict[str, ChunkCache] = {}
 
 
@@ -127,10 +190,11 @@ def library_cache(path: str) -> ChunkCache:
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
-        def encode(chunks: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch(chunks, add_special_tokens=False)]
-
-        _LIBRARY[path] = ChunkCache(encode)
+        spec = json.loads(tokenizer.to_str())
+        steps = spec["normalizer"] or {}
+        uncased = any(n["type"] == "Lowercase" for n in steps.get("normalizers", [steps]) if n) and '"behavior":"Removed"' in json.dumps(spec["pre_tokenizer"], separators=(",", ":"))
+        suffix = spec["model"].get("end_of_word_suffix")
+        _LIBRARY[path] = ChunkCache(_WordEnds(tokenizer, suffix) if uncased and suffix else lambda chunks: plain(tokenizer, chunks), uncased)
     return _LIBRARY[path]
 
 

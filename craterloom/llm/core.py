@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker turns into arrays at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
