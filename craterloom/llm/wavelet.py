@@ -37,6 +37,11 @@ BLOCK = 512
 SHARD_TOKENS = 1 << 20
 
 
+def _order(one: np.ndarray) -> np.ndarray:
+    """Places of the 0 bits, then those of the 1 bits."""
+    return np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])
+
+
 class WaveletMatrix:
     """Bit planes of a sequence of unsigned numbers."""
 
@@ -51,8 +56,7 @@ class WaveletMatrix:
         for bit in range(width - 1, -1, -1):
             one = (a & a.dtype.type(1 << bit)) != 0
             plane = np.packbits(one, bitorder="little")
-            zero = ~one
-            a = np.concatenate([a[zero], a[one]])
+            a = a[_order(one)]
             planes.append(plane)
             ranks.append(cls._directory(plane))
             zeros.append(int(len(one) - ranks[-1][-1]))
@@ -133,9 +137,9 @@ class WaveletMatrix:
         a = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes) - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            z, up = self.zeros[level], np.empty_like(a)
-            up[~one] = a[:z]
-            up[one] = a[z:] | a.dtype.type(1 << (len(self.planes) - 1 - level))
+            a[self.zeros[level]:] |= a.dtype.type(1 << (len(self.planes) - 1 - level))
+            up = np.empty_like(a)
+            up[_order(one)] = a
             a = up
         return a
 
