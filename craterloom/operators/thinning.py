@@ -25,11 +25,9 @@ def cap_cells(points: DataFrame, width: float, height: float, cap: int = 4, grid
 
 def _entropy(counts: DataFrame, cells: int) -> DataFrame:
     """pair_id, cell, n to the normalised Shannon entropy of each pair."""
-    p = F.col("n") / F.col("total")
     totals = counts.groupBy("pair_id").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("weighted"))
     # -sum p log2 p = log2 total - sum n log2 n / total
     h = (F.log2("total") - F.col("weighted") / F.col("total")) / F.log2(F.lit(float(cells)))
-    del p
     return totals.select("pair_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), h)).alias("entropy"))
 
 

@@ -45,7 +45,7 @@ SELECT tp_id, pair_id, src_x, src_y, src_x * 1.01E0 + 12.5E0 + nx AS ref_x, src_
        CASE WHEN tp_id % 5 = 0 THEN NULL ELSE abs(ny) / 2 + 0.05E0 END AS sigma_y, CASE WHEN tp_id % 7 = 0 THEN NULL ELSE nx * ny END AS cov_xy,
        CASE WHEN tp_id % 6 = 0 THEN NULL ELSE 1 / (1 + abs(nx)) END AS weight, tp_id % 3 = 0 AS subpixel, tp_id % 4 <> 0 AS inlier
 FROM (SELECT o_orderkey AS tp_id, CAST(floor(o_orderkey / 300.0) AS BIGINT) AS pair_id, CAST((o_orderkey * 7919) % 102400 AS DOUBLE) / 100 AS src_x, CAST((o_orderkey * 104729) % 102400 AS DOUBLE) / 100 AS src_y,
-  (CAST((o_orderkey * 31) % 201 AS DOUBLE) - 100) / 400 AS nx, (CAST((o_orderkey * 57) % 201 AS DOUBLE) - 100) / 400 AS ny, CAST(1 + (o_custkey * 613) % 999 AS DOUBLE) / 1000 AS confidence
+  (CAST((o_orderkey * 31) % 201 AS DOUBLE) - 100) / 397E0 AS nx, (CAST((o_orderkey * 57) % 201 AS DOUBLE) - 100) / 397E0 AS ny, CAST(1 + (o_custkey * 613) % 999 AS DOUBLE) / 1000 AS confidence
   FROM orders) t""",
     "transforms": """
 SELECT pair_id, 1.01E0 + pair_id % 5 * 0.001E0 AS h00, CASE WHEN pair_id % 13 = 5 THEN 4.5E0 ELSE pair_id % 3 * 0.002E0 END AS h01, 12.5E0 AS h02,
