@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 
 from craterloom.functions import photometry as P
 
-ROW = Window.partitionBy("raster_id", "y").orderBy("x")
-COLUMN = Window.partitionBy("raster_id", "x").orderBy("y")
+
+def along_row():
+    return Window.partitionBy("raster_id", "y").orderBy("x")
+
+
+def along_column():
+    return Window.partitionBy("raster_id", "x").orderBy("y")
 
 
 def _difference(value: Column, w) -> Column:
@@ -28,7 +33,7 @@ def filled(pixels: DataFrame) -> DataFrame:
 
 
 def gradients(pixels: DataFrame, value: str = "filled") -> DataFrame:
-    return pixels.withColumn("gx", _difference(F.col(value), ROW)).withColumn("gy", _difference(F.col(value), COLUMN))
+    return pixels.withColumn("gx", _difference(F.col(value), along_row())).withColumn("gy", _difference(F.col(value), along_column()))
 
 
 def sobel(pixels: DataFrame, value: str = "value", gsd: float = 1.0) -> DataFrame:
@@ -39,9 +44,9 @@ def sobel(pixels: DataFrame, value: str = "value", gsd: float = 1.0) -> DataFram
         return F.coalesce(out, other, c)
 
     v = F.col(value)
-    rows = pixels.withColumn("_dx", shifted(v, ROW, 1) - shifted(v, ROW, -1)).withColumn("_sx", shifted(v, ROW, 1) + 2 * v + shifted(v, ROW, -1))
-    out = rows.withColumn("dzdx", (shifted(F.col("_dx"), COLUMN, 1) + 2 * F.col("_dx") + shifted(F.col("_dx"), COLUMN, -1)) / (8.0 * gsd))
-    return out.withColumn("dzdy", (shifted(F.col("_sx"), COLUMN, 1) - shifted(F.col("_sx"), COLUMN, -1)) / (8.0 * gsd)).drop("_dx", "_sx")
+    rows = pixels.withColumn("_dx", shifted(v, along_row(), 1) - shifted(v, along_row(), -1)).withColumn("_sx", shifted(v, along_row(), 1) + 2 * v + shifted(v, along_row(), -1))
+    out = rows.withColumn("dzdx", (shifted(F.col("_dx"), along_column(), 1) + 2 * F.col("_dx") + shifted(F.col("_dx"), along_column(), -1)) / (8.0 * gsd))
+    return out.withColumn("dzdy", (shifted(F.col("_sx"), along_column(), 1) - shifted(F.col("_sx"), along_column(), -1)) / (8.0 * gsd)).drop("_dx", "_sx")
 
 
 def normals(pixels: DataFrame) -> DataFrame:
