@@ -59,8 +59,7 @@ def quality(pixels: DataFrame) -> DataFrame:
     g = gradients(filled(pixels))
     span = pixels.groupBy("raster_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     s = F.col("high") - F.col("low")
-    flat = s <= 1e-12
-    scaled = (F.col("value") - F.col("low")) / s
+    scaled = (F.col("value") - F.col("low")) / F.when(s > 1e-12, s)
     extreme = ((scaled <= 0.02) | (scaled >= 0.98)).cast("int")
     slope = F.when(F.col("value").isNotNull(), F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
     out = g.join(span, "raster_id").groupBy("raster_id", s.alias("span")).agg(
