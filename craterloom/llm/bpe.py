@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from craterloom.llm.chunks import ChunkCache, in_order, ragged, tokenizer_path
-from craterloom.llm.core import slices, text_bytes
+from craterloom.llm.core import CACHES, TOKEN_SLICE_BYTES, slices, text_bytes, tidy
 
 BLOCK = 1024
 #: Fixed value: the published pre-tokenizer pattern of this vocabulary.
@@ -237,7 +237,8 @@ _WORKERS: dict[str, _Worker] = {}
 
 def _worker(path: str) -> _Worker:
     if path not in _WORKERS:
-        _WORKERS[path] = _Worker(path)
+        worker = _WORKERS[path] = _Worker(path)
+        CACHES[path] = lambda: (worker.cache.reset(), worker.bpe.seen.clear())
     return _WORKERS[path]
 
 
@@ -251,7 +252,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         for b in batches:
             doc_ids = b["id"].to_pylist()
             data, offsets = text_bytes(b["text"])
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, TOKEN_SLICE_BYTES):
                 ids, at = w.cache.rows(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 size, shown = w.length[ids], w.digit_length[ids]
                 raw = w.pool[ragged(w.start[ids], size)] if len(ids) else w.pool[:0]
@@ -278,7 +279,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run, tokenizer), schema)
 
 
 def op4_bpe_stream(spark, sf_dir: str) -> DataFrame:

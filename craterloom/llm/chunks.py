@@ -18,6 +18,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
+from craterloom.llm.core import CACHES
+
 #: Entries and pooled ids after which a cache starts anew.
 CACHE_CHUNKS, CACHE_IDS = 900_000, 9_000_000
 
@@ -195,6 +197,7 @@ def library_cache(path: str) -> ChunkCache:
         uncased = any(n["type"] == "Lowercase" for n in steps.get("normalizers", [steps]) if n) and '"behavior":"Removed"' in json.dumps(spec["pre_tokenizer"], separators=(",", ":"))
         suffix = spec["model"].get("end_of_word_suffix")
         _LIBRARY[path] = ChunkCache(_WordEnds(tokenizer, suffix) if uncased and suffix else lambda chunks: plain(tokenizer, chunks), uncased)
+        CACHES[path] = _LIBRARY[path].reset
     return _LIBRARY[path]
 
 

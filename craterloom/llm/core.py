@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that a Python worker turns into arrays at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that a Python worker turns into arrays at once; more where that saves repeated lookups.
+SLICE_BYTES, TOKEN_SLICE_BYTES = 1 << 20, 4 << 20
+
+#: What empties each cache of this worker, by the cache's name.
+CACHES: dict[str, Callable[[], None]] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -46,6 +53,31 @@ def forget_on_exit(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
 
 
+def tidy(run, uses: str | None = None):
+    """run for mapInArrow in a worker that lives on: caches it does not use go first, freed memory is given back after."""
+    def wrapped(batches):
+        for name, empty in CACHES.items():
+            if name != uses:
+                empty()
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
+def pieces_of(batches, nbytes: int = 2 << 20):
+    """The batches again, each in slices of about nbytes."""
+    for b in batches:
+        step = max(1, int(len(b) * nbytes / max(1, b.nbytes)))
+        for i in range(0, len(b), step):
+            yield b.slice(i, step)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -87,15 +119,16 @@ class Rolling:
     def __init__(self, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.table = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.inverse = pow(self.BASE, -1, 2**64)
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
+    #: Powers of the base and of its inverse, shared by all instances.
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def _powers(cls, n: int) -> None:
+        if len(cls.up) < n:
             n = max(n, SLICE_BYTES + 1)
             with np.errstate(over="ignore"):
-                self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, self.BASE, np.uint64))])
-                self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, self.inverse, np.uint64))])
+                cls.up, cls.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, b, np.uint64))]) for b in (cls.BASE, pow(cls.BASE, -1, 2**64)))
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         self._powers(len(data) + 1)

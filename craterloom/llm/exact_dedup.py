@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from craterloom.llm.core import written
+from craterloom.llm.core import pieces_of, tidy, written
 
 #: Bytes of distinct text that one table may hold before its records go to spill files.
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 24 << 20
 FANOUT = 16
 
 
@@ -127,13 +127,13 @@ def _fold(limit: int):
 
         def flush():
             nonlocal seen
-            step = 2000
+            step = 500
             for i in range(0, len(table.texts), step):
                 yield batch([(part, seen + j, best[j][1], best[j][0][1], h, t.decode("utf-8", "surrogatepass"), v[0])
                              for j, (h, t, v) in enumerate(zip(table.hashes[i:i + step], table.texts[i:i + step], table.values[i:i + step]), i)])
             seen += len(table.texts)
 
-        for b in batches:
+        for b in pieces_of(batches):
             rows = []
             for h, doc, text in zip(b["h"].to_pylist(), b["id"].to_pylist(), b["text"].to_pylist()):
                 text = text.encode("utf-8", "surrogatepass")
@@ -165,7 +165,7 @@ def _group(limit: int):
         old[2] += new[2]
 
     def records(batches):
-        for b in batches:
+        for b in pieces_of(batches):
             cols = [b[c].to_pylist() for c in ("h", "text", "n", "id", "part", "pos", "grp")]
             for h, text, n, doc, part, pos, grp in zip(*cols):
                 yield h & (2**64 - 1), text.encode("utf-8", "surrogatepass"), [n, (doc, part, pos), [(part, grp)]]
@@ -195,9 +195,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", "text", F.xxhash64("text").alias("h"))
-    folded = written(rows.mapInArrow(_fold(limit), "part long, grp long, pos long, id long, h long, text string, n long"), "grace")
+    folded = written(rows.mapInArrow(tidy(_fold(limit)), "part long, grp long, pos long, id long, h long, text string, n long"), "grace")
     reps = folded.where("n is not null").repartition("h").select("part", "grp", "pos", "id", "h", "text", "n")
-    groups = reps.mapInArrow(_group(limit), "part long, grp long, keep_id long, keep_part long, keep_pos long, group_size long, text_sha256 string")
+    groups = reps.mapInArrow(tidy(_group(limit)), "part long, grp long, keep_id long, keep_part long, keep_pos long, group_size long, text_sha256 string")
     members = folded.where("n is null").select("part", "grp", "pos", F.col("id").alias("doc_id"))
     return members.join(groups, ["part", "grp"]).select(
         "doc_id", "keep_id", "group_size", ((F.col("part") == F.col("keep_part")) & (F.col("pos") == F.col("keep_pos"))).alias("kept"), "text_sha256"

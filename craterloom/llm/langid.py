@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from craterloom.llm.core import SLICE_BYTES
+from craterloom.llm.core import SLICE_BYTES, tidy
 
 PER_LANGUAGE, LANDMARKS, RIDGE = 400, 256, 1e-2
 #: Character classes: the commonest letters of the sample, then space, digit, other mark, other letter.
@@ -39,13 +39,16 @@ class Alphabet:
     def __init__(self, letters: str):
         self.table = np.zeros(0x110000, np.uint8)
         self.letters = letters[:LETTERS]
-        points = np.arange(0x110000)
         self.table[:] = CLASSES - 1  # a letter outside the alphabet
-        text = "".join(map(chr, [p if not 0xD800 <= p < 0xE000 else 0x20 for p in points]))
-        self.is_letter = np.fromiter(map(str.isalpha, text), bool, len(text))
-        self.table[~self.is_letter] = CLASSES - 2
-        self.table[np.fromiter(map(str.isdigit, text), bool, len(text))] = CLASSES - 3
-        self.table[np.fromiter(map(str.isspace, text), bool, len(text))] = CLASSES - 4
+        self.is_letter = np.zeros(0x110000, bool)
+        for first in range(0, 0x110000, 0x1000):
+            text = [chr(p) for p in range(first, first + 0x1000)]
+            kinds = [np.fromiter(map(f, text), bool, len(text)) for f in (str.isalpha, str.isdigit, str.isspace)]
+            part = self.table[first:first + 0x1000]
+            self.is_letter[first:first + 0x1000] = kinds[0]
+            part[~kinds[0]] = CLASSES - 2
+            part[kinds[1]] = CLASSES - 3
+            part[kinds[2]] = CLASSES - 4
         for i, c in enumerate(self.letters):
             self.table[ord(c)] = i + 1
 
@@ -188,7 +191,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 lang, score = sent.value.predict(part[text_col].to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

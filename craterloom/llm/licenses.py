@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from craterloom.llm.core import Rolling, slices, text_bytes
+from craterloom.llm.core import Rolling, slices, text_bytes, tidy
 
 MIN_MATCH, MAX_GAP, MIN_COVER = 3, 12, 0.75
 
@@ -269,7 +269,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(tidy(run), SCHEMA)
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from craterloom.llm.components import components
-from craterloom.llm.core import mix, slices, text_bytes, written
+from craterloom.llm.core import mix, slices, text_bytes, tidy, written
 from craterloom.llm.shingles import MinHash, shingle_sets
 
 HASHES, ROWS = 128, 4
@@ -89,7 +89,7 @@ def _fingerprint(docs: DataFrame, width: int) -> DataFrame:
                     [pa.array(uid), b["id"].slice(i, m), b["k1"].slice(i, m), b["k2"].slice(i, m), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names)
 
-    return docs.mapInArrow(run, "uid long, id long, k1 long, k2 long, n long, h1 long, h2 long, keys array<long>")
+    return docs.mapInArrow(tidy(run), "uid long, id long, k1 long, k2 long, n long, h1 long, h2 long, keys array<long>")
 
 
 def _members(docs: DataFrame, width: int) -> DataFrame:
@@ -119,7 +119,7 @@ def _members(docs: DataFrame, width: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return docs.mapInArrow(run, "bucket long, kind int, uid long, first boolean, sig binary, shingles binary")
+    return docs.mapInArrow(tidy(run), "bucket long, kind int, uid long, first boolean, sig binary, shingles binary")
 
 
 class Verifier:
@@ -199,7 +199,7 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
         if found:
             yield _pairs(found)
 
-    return members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    return members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "a long, b long")
 
 
 def _pairs(found):

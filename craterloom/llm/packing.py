@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from craterloom.llm.chunks import library_cache, tokenizer_path
-from craterloom.llm.core import slices, text_bytes, written
+from craterloom.llm.core import TOKEN_SLICE_BYTES, slices, text_bytes, tidy, written
 
 LENGTH = 4096
 PACK_PIECES = 500_000
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
         for b in batches:
             doc_ids = b["id"]
             data, offsets = text_bytes(b["text"])
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, TOKEN_SLICE_BYTES):
                 ids, at = cache.rows(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 ids, sizes = np.insert(ids, at[1:], end_id).astype("<u4"), np.diff(at) + 1
                 first = np.cumsum(sizes) - sizes
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return rows.mapInArrow(tidy(run, tokenizer), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def pack(table: DataFrame, length: int = LENGTH, pack_pieces: int = PACK_PIECES) -> DataFrame:
@@ -133,7 +133,7 @@ def pack(table: DataFrame, length: int = LENGTH, pack_pieces: int = PACK_PIECES)
     # dealt by a number, not by a column that may be the same in a third of all rows
     tasks = max(1, -(-table.count() // pack_pieces))
     dealt = table.select(*names, F.monotonically_increasing_id().alias("_deal")).repartition(tasks, "_deal")
-    return dealt.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
+    return dealt.mapInArrow(tidy(run), f"{schema}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_ids: bool = False) -> DataFrame:

@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from craterloom.llm.core import Rolling, mix, text_bytes, written
+from craterloom.llm.core import Rolling, mix, text_bytes, tidy, written
 
 WIDTH, K = 200, 48
 #: Bytes of text whose contexts are cut at once; positions inside have 24 bits.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Contexts of one anchor from which on windows are dealt singly.
 MANY = 20_000
 #: Bytes of contexts that are sorted in one array, if their anchors' contexts are not more by themselves.
@@ -300,7 +300,7 @@ def _cut(rows: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(uid), b["id"], b["k1"], b["k2"], pa.ListArray.from_arrays(pa.array(bounds), values), sure], ["uid", "id", "k1", "k2", "runs", "sure"])
 
-    return rows.mapInArrow(run, "uid long, id long, k1 long, k2 long, runs array<struct<a:long,c:long,s:int,n:int,twice:boolean>>, sure array<struct<s:long,e:long>>")
+    return rows.mapInArrow(tidy(run), "uid long, id long, k1 long, k2 long, runs array<struct<a:long,c:long,s:int,n:int,twice:boolean>>, sure array<struct<s:long,e:long>>")
 
 
 def _meet(runs: DataFrame, width: int) -> DataFrame:
@@ -346,7 +346,7 @@ def _meet(runs: DataFrame, width: int) -> DataFrame:
             yield from solve(list(map(np.concatenate, zip(*held))))
 
     dealt = runs.repartition("a").sortWithinPartitions("a")
-    return dealt.mapInArrow(run, "ask boolean, uid long, a long, s int, n int, single boolean, many boolean")
+    return dealt.mapInArrow(tidy(run), "ask boolean, uid long, a long, s int, n int, single boolean, many boolean")
 
 
 def _bytes(texts: DataFrame, width: int) -> DataFrame:
@@ -380,7 +380,7 @@ def _bytes(texts: DataFrame, width: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return texts.mapInArrow(run, "key long, uid long, s int, n int, single boolean, bytes binary")
+    return texts.mapInArrow(tidy(run), "key long, uid long, s int, n int, single boolean, bytes binary")
 
 
 def _sort(dealt: DataFrame, width: int) -> DataFrame:
@@ -410,7 +410,7 @@ def _sort(dealt: DataFrame, width: int) -> DataFrame:
         if held:
             yield from solve(held)
 
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "uid long, s long, e long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "uid long, s long, e long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -455,7 +455,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept_columns), *(pa.array(x, k) for x, k in zip(out, kinds))], [*kept_columns, *extra])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def op3_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

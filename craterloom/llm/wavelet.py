@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from craterloom.llm.chunks import library_cache, tokenizer_path
-from craterloom.llm.core import slices, text_bytes, written
+from craterloom.llm.core import TOKEN_SLICE_BYTES, slices, text_bytes, tidy, written
 
 MAGIC = b"CRWM0001"
 BLOCK = 512
@@ -204,7 +204,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
         for b in batches:
             doc_ids = b["id"].to_pylist()
             data, offsets = text_bytes(b["text"])
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, TOKEN_SLICE_BYTES):
                 ids, at = cache.rows(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 # the end id goes in after each row
                 ids, lengths = np.insert(ids, at[1:], end_id), np.diff(at) + 1
@@ -229,7 +229,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    return written(rows.mapInArrow(run, SHARD_SCHEMA), "wavelet")
+    return written(rows.mapInArrow(tidy(run, tokenizer), SHARD_SCHEMA), "wavelet")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     [pa.array([part] * len(crc), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(bounds[:-1] + before), pa.array(lengths), pa.array(crc, pa.int64())],
                     ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = shards.mapInArrow(run, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = shards.mapInArrow(tidy(run), "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
     # one row per partition of the writer, as many as it had tasks
     sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = sizes.select(F.col("part").alias("p"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
