@@ -211,3 +211,18 @@ def latest_product(df: DataFrame, by: str | None = None) -> DataFrame:
     at = F.coalesce(F.unix_micros(F.try_to_timestamp("acquisition_time")), F.lit(-(1 << 62)))
     pick = F.max_by(F.struct("product_id", "acquisition_time"), F.struct(at, F.col("product_id")))
     return (usable.groupBy(by) if by else usable).agg(pick.alias("latest")).select(*([by] if by else []), "latest.*")
+
+
+def inspected(df: DataFrame) -> DataFrame:
+    """status and problem of each product from its header (width, band_count) and label (label_width, label_bands, labelled).
+
+    A detached raster without a label is invalid; header and label must agree; spectral cubes are partial.
+    """
+    c, kind = F.col, suffix(F.col("image_path"))
+    differ = lambda a, b: ~c(a).eqNullSafe(c(b))
+    problem = (
+        F.when(~c("labelled") & kind.isin("img", "qub"), "NO_LABEL").when(~c("labelled"), F.lit(None)).when(kind.isin("tif", "tiff") & differ("label_width", "width"), "DIMENSIONS_DISAGREE")
+        .when(differ("label_bands", "band_count"), "BANDS_DISAGREE")
+    )
+    df = df.withColumn("problem", problem)
+    return df.withColumn("status", F.when(c("problem").isNotNull(), "invalid").when(~c("labelled"), "discovered").when(c("band_count") > 1, "partial").otherwise("validated"))
