@@ -204,13 +204,87 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs, with all its columns, for each distinct text: that with the largest id."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    rows = docs.withColumn("_own_sha", sha)
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own_sha") == F.col("_sha")), "left_semi")
-    return rows.dropDuplicates([id_col, "_own_sha"]).drop("_own_sha")  # repeated rows: same id, same text
+def _fold_rows(limit: int):
+    """Map side of drop_exact(): of equal texts of a task one row, that with the largest id, first as read."""
+    def run(batches):
+        part, pos, table, rest = TaskContext.get().partitionId(), 0, OpenTable(), None
+
+        def flush():
+            names = ["h", "text", "id", "part", "pos", "rest"]
+            for i in range(0, len(table.texts), 500):
+                held = list(zip(table.hashes[i:i + 500], table.texts[i:i + 500], table.values[i:i + 500]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([h for h, _, _ in held], pa.int64()), pa.array([t.decode("utf-8", "surrogatepass") for _, t, _ in held], pa.string()), *(pa.array([v[k] for _, _, v in held], pa.int64()) for k in range(3)),
+                     pa.array([v[3] for _, _, v in held], rest)], names)
+
+        for b in pieces_of(batches):
+            rest = b.schema.field("rest").type
+            for h, doc, text, more in zip(*(b[c].to_pylist() for c in ("h", "id", "text", "rest"))):
+                text = text.encode("utf-8", "surrogatepass")
+                e, at = table.find(h, text)
+                if e < 0:
+                    if table.bytes >= limit:
+                        yield from flush()
+                        table = OpenTable()
+                        e, at = table.find(h, text)
+                    table.add(h, text, [doc, part, pos, more], at)
+                else:
+                    _keep_larger(table.values[e], [doc, part, pos, more])
+                pos += 1
+        yield from flush()
+
+    return run
+
+
+def _keep_larger(old: list, new: list) -> None:
+    """Values (id, part, pos, rest): the larger id, then the earlier place."""
+    rank = lambda v: (v[0] is not None, v[0] or 0, -v[1], -v[2])
+    if rank(new) > rank(old):
+        old[:] = new
+
+
+def _kept_rows(limit: int):
+    """Reduce side of drop_exact(): the row that stays of each text."""
+    def run(batches):
+        folder, kinds = tempfile.mkdtemp(), []
+
+        def records():
+            for b in pieces_of(batches):
+                kinds[:] = [b.schema.field("rest").type]
+                for h, text, *value in zip(*(b[c].to_pylist() for c in ("h", "text", "id", "part", "pos", "rest"))):
+                    yield h & (2**64 - 1), text.encode("utf-8", "surrogatepass"), value
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array([t.decode("utf-8", "surrogatepass") for t, _ in rows], pa.string()), pa.array([v[3] for _, v in rows], kinds[0])], ["text", "rest"])
+
+        try:
+            rows = []
+            for text, value in grace(records(), _keep_larger, folder, limit):
+                rows.append((text, value))
+                if len(rows) >= 500:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
+        finally:
+            shutil.rmtree(folder, ignore_errors=True)
+
+    return run
+
+
+def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TABLE_BYTES) -> DataFrame:
+    """One row of docs, with all its columns, for each distinct text: that with the largest id.
+
+    Texts are dealt once; the row that stays comes whole out of the task that compared its text.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    others = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    rest = F.struct(F.col(text_col).isNull().alias("null_text"), *others)
+    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("text"), F.col(id_col).cast("long").alias("id"), rest.alias("rest"))
+    kind = rows.schema["rest"].dataType.simpleString()
+    folded = rows.mapInArrow(tidy(_fold_rows(limit)), f"h long, text string, id long, part long, pos long, rest {kind}")
+    kept = folded.repartition("h").mapInArrow(tidy(_kept_rows(limit)), f"text string, rest {kind}")
+    return kept.select(*(F.when(~F.col("rest.null_text"), F.col("text")).alias(c) if c == text_col else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op8_grace_dedup(spark, sf_dir: str) -> DataFrame:
