@@ -65,3 +65,24 @@ def structural_band(cube: DataFrame) -> DataFrame:
         return pd.DataFrame({"cube_id": pdf["cube_id"].iloc[0], "y": wide.index.get_level_values(0), "x": wide.index.get_level_values(1), "value": score})
 
     return clean_bands(cube).groupBy("cube_id").applyInPandas(run, "cube_id long, y int, x int, value double")
+
+
+def band_axis(d0: Column, d1: Column, d2: Column, bands: Column) -> Column:
+    """Which axis of a cube holds its bands: the one of that size (first, last, middle), else the odd one out or the short last one."""
+    return (
+        F.when(d0 == bands, 0).when(d2 == bands, 2).when(d1 == bands, 1).when((d0 == d1) & (d2 != d0), 2).when((d2 < d0) & (d2 < d1), 2).otherwise(0)
+    )
+
+
+def representation(bands: Column, has_wavelengths: Column) -> Column:
+    """How a product becomes one image: as it is, by its continuum, or by its first principal component."""
+    return F.when(F.coalesce(bands, F.lit(1)) <= 1, "single_band").when(has_wavelengths, "continuum").otherwise("pca")
+
+
+def registration_windows(products: DataFrame) -> DataFrame:
+    """The whole image of each product with known size as one window; overlap stays unknown until geometry says more."""
+    c = F.col
+    known = products.where((c("width") > 0) & (c("height") > 0))
+    return known.select(
+        "k", F.lit(0).alias("row_off"), F.lit(0).alias("col_off"), c("height").alias("h"), c("width").alias("w"), representation(c("band_count"), c("gsd_m").isNotNull()).alias("representation"),
+        F.lit("OVERLAP_UNKNOWN").alias("overlap_status"))

@@ -117,3 +117,18 @@ def sql_functions(spark, d):
 @query("S4", duck("scenes") + "SELECT k, product_id FROM scenes WHERE product_id = 'lro_5'")
 def s4_find_product(spark, d):
     return archive.find_one(relation(spark, d, "scenes"), "LRO_5").select("k", "product_id")
+
+
+@query("S26 R17", duck("products") + """SELECT k, 0 AS row_off, 0 AS col_off, height AS h, width AS w, CASE WHEN coalesce(band_count, 1) <= 1 THEN 'single_band' WHEN gsd_m IS NOT NULL THEN 'continuum' ELSE 'pca' END AS representation, 'OVERLAP_UNKNOWN' AS overlap_status FROM products WHERE width > 0 AND height > 0""")
+def s26_registration_windows(spark, d):
+    from craterloom.operators.spectral import registration_windows
+
+    return registration_windows(relation(spark, d, "products"))
+
+
+@query("R17", duck("products") + """SELECT k, CASE WHEN a = n THEN 0 WHEN c = n THEN 2 WHEN b = n THEN 1 WHEN a = b AND c <> a THEN 2 WHEN c < a AND c < b THEN 2 ELSE 0 END AS axis FROM (SELECT k, k % 5 AS a, k % 7 AS b, k % 3 AS c, k % 11 AS n FROM products)""")
+def r17_band_axis(spark, d):
+    from craterloom.operators.spectral import band_axis
+
+    k = F.col("k")
+    return relation(spark, d, "products").select("k", band_axis(k % 5, k % 7, k % 3, k % 11).alias("axis"))

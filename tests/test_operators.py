@@ -148,3 +148,67 @@ def test_csv_keeps_blanks_and_nulls(spark, tmp_path):
     sinks.write_csv(df, str(tmp_path / "c"))
     r = readers.read_catalog(spark, str(tmp_path / "c"), "k long, s string, n double, v string").first()
     assert (r.k, r.s, r.n, r.v) == (1, " a ", None, "[1.0]")
+
+
+def test_archive_status(spark):
+    from craterloom.sources import archive
+
+    class Answer:
+        status = 200
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            return False
+
+    ok = archive.archive_status(spark, "m", "http://example.org/x", lambda *a, **k: Answer()).first()
+    assert ok.available and ok.http_status == 200 and ok.message is None
+
+    def broken(*a, **k):
+        raise OSError("no network")
+
+    bad = archive.archive_status(spark, "m", "http://example.org/x", broken).first()
+    assert not bad.available and bad.http_status is None and "no network" in bad.message
+
+
+def test_dataset_manifest(spark, tmp_path):
+    pytest.importorskip("yaml")
+    from craterloom.sources import archive
+
+    (tmp_path / "m.yaml").write_text("datasets:\n- {id: a, mission: m, instrument: i, status: pending}\n")
+    assert archive.dataset_manifest(spark, str(tmp_path / "m.yaml")).first().status == "pending"
+    (tmp_path / "m.yaml").write_text("datasets:\n- {id: a}\n")
+    with pytest.raises(ValueError, match="missing mission"):
+        archive.dataset_manifest(spark, str(tmp_path / "m.yaml"))
+
+
+def test_find_one_fails_on_none(spark):
+    from craterloom.sources import archive
+
+    df = spark.createDataFrame([("a",), ("b",), ("B",)], "product_id string")
+    assert archive.find_one(df, "A").count() == 1
+    with pytest.raises(Exception, match="2 products"):
+        archive.find_one(df, "b").collect()
+
+
+def test_clip_and_sphere():
+    from craterloom.functions.clip import clip, sphere_area_km2
+
+    box = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    assert sorted(clip(box, [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)])) == [(1.0, 1.0), (1.0, 2.0), (2.0, 1.0), (2.0, 2.0)]
+    assert clip(box, [(5.0, 5.0), (6.0, 5.0), (6.0, 6.0)]) == [] and sphere_area_km2([]) == 0.0
+
+
+def test_streams_of_nothing(spark, tmp_path):
+    from craterloom.streaming import catalog
+
+    spark.createDataFrame([], "product_id string, status string").write.parquet(str(tmp_path / "in"))
+    catalog.run_once(catalog.ingest(spark, str(tmp_path / "in"), "product_id string, status string"), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert spark.read.schema("product_id string, status string").parquet(str(tmp_path / "out")).count() == 0
+
+
+def test_command_line():
+    import craterloom.__main__ as cli
+
+    assert cli.main(["list"]) == 0 and cli.main([]) == 2 and cli.main(["show", "nothing", "/"]) == 2
