@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 QUERY_BLOCK = 8192
 LEAF = 96
-#: Rows of the sample from which each query's kth score starts.
+#: Rows, about, of the sample from which each query's kth score starts; each row has the same chance.
 SAMPLE = 4096
 
 
@@ -135,7 +135,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     rows = _vectors(df, id_col, vector_col, scale)
     asked = _vectors(df.where(is_query), id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-asked.count() // query_block))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    share = min(1.0, SAMPLE / max(1, df.count()))
+    sample = rows.sample(share, seed=7).toPandas()
     out = None
     for block in range(blocks):
         mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toPandas()
