@@ -6,8 +6,7 @@ rows is drawn, some of them become Nystroem landmarks, and one-versus-rest kerne
 is solved on the Nystroem features.  Landmark weights fold into one weight per n-gram and language,
 so a batch of texts is scored by one product of its (sparse) presence matrix and that weight matrix.
 
-Parameters: PER_LANGUAGE bounds the labelled sample for each language (drawn by a hash of the id, so
-any row may be drawn), LANDMARKS the landmarks, RIDGE the ridge.  Every text is scored whole.
+Parameters: PER_LANGUAGE bounds the labelled sample for each language (any row may be drawn), LANDMARKS the landmarks, RIDGE the ridge.  Every text is scored whole.
 
 Defined results
 ---------------
@@ -159,14 +158,13 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
 
 
 def labelled_sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, per_language: int) -> tuple[list, list]:
-    """About per_language rows of each language (never more than twice as many), drawn by a hash of the id."""
+    """per_language rows of each language at most; every row has the same chance, however often its id or text is repeated."""
     ok = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     sizes = {r[0]: r[1] for r in ok.groupBy(lang_col).count().orderBy(F.col("count").desc(), lang_col).limit(500).collect()}
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, per_language * 1.25 / n))).otherwise(share)
-    drawn = ok.where(draw < share).select(draw.alias("u"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).collect()
+    drawn = ok.withColumn("_u", F.rand(17)).where(F.col("_u") < share).select(F.col("_u").alias("u"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).collect()
     texts, langs, seen = [], [], {}
     for r in sorted(drawn, key=lambda r: (r.u, r.t)):
         if seen.get(r.l, 0) < per_language:
