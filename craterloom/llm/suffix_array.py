@@ -427,7 +427,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = cut.select("uid", "id", "k1", "k2")
     asked = met.where("ask").groupBy("uid").agg(F.collect_list(F.struct("a", "s", "n", "single", "many")).alias("asked")).join(own, "uid")
     same = lambda x, y: x["id"].eqNullSafe(y["id"]) & (x["k1"] == y["k1"]) & (x["k2"] == y["k2"])
-    sorted_ = _sort(_bytes(rows.join(asked, same(rows, asked)).select(asked["uid"], "asked", rows["text"]), width), width)
+    # written, so that what was shuffled for the sort is gone before texts are dealt for the result
+    sorted_ = written(_sort(_bytes(rows.join(asked, same(rows, asked)).select(asked["uid"], "asked", rows["text"]), width), width), "sorted")
     spans = met.where("not ask").select("uid", F.col("s").cast("long").alias("s"), (F.col("s") + F.col("n") + (width - 1)).cast("long").alias("e"))
     spans = spans.unionByName(sorted_).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("more"))
     # rows that share id and content have equal sets of spans
