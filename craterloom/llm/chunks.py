@@ -72,6 +72,7 @@ class ChunkCache:
     def __init__(self, encode: Callable[[list[str]], tuple[list[int], np.ndarray, np.ndarray]], uncased: bool = False):
         """uncased: the tokenizer drops white space and lower-cases, so chunks may be folded before they are looked up."""
         self.encode, self.uncased = encode, uncased
+        self.limit = CACHE_CHUNKS
         self.reset()
 
     def reset(self) -> None:
@@ -112,7 +113,7 @@ class ChunkCache:
         array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         coded = array.dictionary_encode()
         chunks = coded.dictionary.to_pylist()
-        if len(self.at) + len(chunks) > CACHE_CHUNKS or self.used > CACHE_IDS:
+        if len(self.at) + len(chunks) > self.limit or self.used > CACHE_IDS:
             self.reset()
         entries = list(map(self.at.get, chunks))
         if new := [i for i, e in enumerate(entries) if e is None]:
@@ -182,8 +183,8 @@ def plain(tokenizer, chunks: list[str]) -> tuple[range, np.ndarray, np.ndarray]:
 _LIBRARY: dict[str, ChunkCache] = {}
 
 
-def library_cache(path: str) -> ChunkCache:
-    """This worker's cache for a tokenizers file, without truncation, padding or special tokens added."""
+def library_cache(path: str, limit: int = CACHE_CHUNKS) -> ChunkCache:
+    """This worker's cache for a tokenizers file, without truncation, padding or special tokens added; limit: its chunks."""
     if path not in _LIBRARY:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -198,6 +199,7 @@ def library_cache(path: str) -> ChunkCache:
         suffix = spec["model"].get("end_of_word_suffix")
         _LIBRARY[path] = ChunkCache(_WordEnds(tokenizer, suffix) if uncased and suffix else lambda chunks: plain(tokenizer, chunks), uncased)
         CACHES[path] = _LIBRARY[path].reset
+    _LIBRARY[path].limit = limit
     return _LIBRARY[path]
 
 

@@ -63,17 +63,22 @@ def tidy(run, uses: str | None = None):
         for name, empty in CACHES.items():
             if name != uses:
                 empty()
+        give_back()
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def pieces_of(batches, nbytes: int = 2 << 20):
     """The batches again, each in slices of about nbytes."""
     for b in batches:

@@ -28,6 +28,8 @@ from craterloom.llm.core import TOKEN_SLICE_BYTES, slices, text_bytes, tidy, wri
 
 LENGTH = 4096
 PACK_PIECES = 500_000
+#: Cached chunks of a worker: fewer than where nothing else runs in it.
+PACK_CHUNKS = 400_000
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
     def run(batches):
-        cache = library_cache(tokenizer)
+        cache = library_cache(tokenizer, PACK_CHUNKS)
         for b in batches:
             doc_ids = b["id"]
             data, offsets = text_bytes(b["text"])
