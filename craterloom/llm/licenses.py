@@ -1,9 +1,9 @@
 """Licence scans with a generalised suffix automaton of licence texts.
 
 The words of all templates go into one automaton.  A text's words stream through it; at every word
-it knows the longest run of words ending there that stands in some template (matching statistics).
-Runs that can't be prolonged and have MIN_MATCH words or more are placed on each template they occur
-in and chained: matches in the same order in text and template, at most MAX_GAP words apart.  A
+it knows the longest run of words ending there that stands in some template (matching statistics), and
+by its suffix links the longest that stands in each other one.  Runs of MIN_MATCH words or more are
+placed on each template on which they can't be prolonged, and chained: matches in the same order in text and template, at most MAX_GAP words apart.  A
 chain that covers MIN_COVER of a template's words gives the template's label and a span.
 
 Beside the templates, fixed base phrases are located wherever their words stand in a row.
@@ -81,6 +81,7 @@ class SuffixAutomaton:
     """Generalised over word sequences; occurrences(state) lists (sequence, end) of a state's words."""
 
     def __init__(self, sequences: list[list[int]]):
+        self.sequences = sequences
         self.next: list[dict[int, int]] = [{}]
         self.link, self.longest = [-1], [0]
         ends: list[list[tuple[int, int]]] = [[]]
@@ -136,14 +137,24 @@ class SuffixAutomaton:
             yield state, length
 
     def matches(self, words: list[int], least: int):
-        """(end, length, state) of the runs of at least this many words that can't be prolonged to the right."""
-        held = None
+        """(end, length, sequence, sequence end) of the runs of at least this many words that can't be prolonged on that sequence.
+
+        At each word the state's own occurrences have the whole run; those that only its suffix links have, the words of that link.
+        """
         for i, (state, length) in enumerate(self.statistics(words)):
-            if held and length <= held[1]:
-                yield held
-            held = (i + 1, length, state) if length >= least else None
-        if held:
-            yield held
+            if length < least:
+                continue
+            following = words[i + 1] if i + 1 < len(words) else None
+            held = set()
+            while length >= least:
+                for number, at in self.ends[state]:
+                    if (number, at) not in held:
+                        held.add((number, at))
+                        own = self.sequences[number]
+                        if at == len(own) or own[at] != following:
+                            yield i + 1, length, number, at
+                state = self.link[state]
+                length = self.longest[state]
 
 
 class Scanner:
@@ -206,10 +217,9 @@ class Scanner:
             while a < b:
                 e = min(b, int(rows[r + 1]))
                 if e - a >= MIN_MATCH:
-                    for end, length, state in self.automaton.matches(number[a:e].tolist(), MIN_MATCH):
-                        for t, t_end in self.automaton.ends[state]:
-                            stop = a - int(rows[r]) + end
-                            placed.setdefault((r, t), []).append((stop - length, stop, t_end - length, t_end))
+                    for end, length, t, t_end in self.automaton.matches(number[a:e].tolist(), MIN_MATCH):
+                        stop = a - int(rows[r]) + end
+                        placed.setdefault((r, t), []).append((stop - length, stop, t_end - length, t_end))
                 a, r = e, r + 1
         for (r, t), found in placed.items():
             cover, start, stop = self.chain(found)

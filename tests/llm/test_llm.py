@@ -273,6 +273,30 @@ def test_automaton_statistics():
             assert length == max([0, *(k for k in range(1, i + 2) if any(q[j:j + k] == text[i + 1 - k:i + 1] for q in seqs for j in range(len(q) - k + 1)))])
 
 
+def test_runs_are_placed_on_every_template():
+    rng = random.Random(7)
+    for _ in range(100):
+        seqs = [[rng.randrange(3) for _ in range(rng.randint(1, 9))] for _ in range(4)]
+        text = [rng.randrange(4) for _ in range(25)]
+        want = set()
+        for t, q in enumerate(seqs):
+            for i in range(len(text)):
+                for j in range(len(q)):
+                    k = 0
+                    while i + k < len(text) and j + k < len(q) and text[i + k] == q[j + k]:
+                        k += 1
+                    if k >= 2 and not (i and j and text[i - 1] == q[j - 1]):
+                        want.add((i + k, k, t, j + k))
+        got = list(licenses.SuffixAutomaton(seqs).matches(text, 2))
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_template_that_another_one_prolongs(spark):
+    texts = ['Licensed under the Apache License, Version 2.0 (the "License"). See LICENSE.', "Licensed under the Apache License, Version 2.0. The end", "Licensed under the Apache License, Version 2.0"]
+    for r in licenses.scan_licenses(documents(spark, [(i, t) for i, t in enumerate(texts)])).collect():
+        assert (r.labels, r.score) == ("apache-2.0", 1.0) and [(s.first_word, s.last_word) for s in r.spans] == [(0, 7)]
+
+
 def test_licenses(spark, data):
     notice = licenses.TEMPLATES[14][1]
     rows = [*ROWS, (30, "See CC BY and cc-by; general PUBLIC license."), (31, "head " + notice.upper() + " tail"), (32, "All rights reserved"), (33, "all rights"), (34, notice[:60]), (35, notice.replace("modify", "adapt"))]
