@@ -96,7 +96,7 @@ _image("t8_orientation_index", lambda i: K.phase_congruency(i)[2], "T8 R5")
 def r9_descriptors(spark, d):
     def run(k, image):
         mim = K.phase_congruency(image)[2]
-        at = K.corners(image, 4)
+        at = K.corners(image)
         return pd.DataFrame({"raster_id": k, "y": [p[0] for p in at], "x": [p[1] for p in at], "v": [K.mim_descriptor(mim, *p).round(6) for p in at]})
 
     return K.per_raster(relation(spark, d, "pixels"), run, "raster_id long, y int, x int, v array<double>")
@@ -105,7 +105,7 @@ def r9_descriptors(spark, d):
 @query("T10", None)
 def t10_corners(spark, d):
     def run(k, image):
-        at = K.corners(image, 10)
+        at = K.corners(image)
         return pd.DataFrame({"raster_id": k, "n": range(len(at)), "y": [p[0] for p in at], "x": [p[1] for p in at]})
 
     return K.per_raster(relation(spark, d, "pixels"), run, "raster_id long, n int, y int, x int")
@@ -146,7 +146,7 @@ def r11_ncc_subpixel(spark, d):
     from craterloom.functions.photometry import paraboloid_peak
 
     def run(k, a, b):
-        at = K.corners(a, 6)
+        at = K.corners(a)
         s = [K.ncc_surface(a, a + 0.05 * b, *p) for p in at]
         return pd.DataFrame({"pair": k, "y": [p[0] for p in at], "x": [p[1] for p in at], **{f"s{i}{j}": [m[i, j] for m in s] for i in range(3) for j in range(3)}})
 

@@ -8,6 +8,7 @@ from craterloom.functions import geometry as G
 from craterloom.functions import labels as L
 from craterloom.functions import transforms as T
 from craterloom.operators import checkpoints, estimation, kernels, matching, raster, spectral, thinning
+from craterloom.plans import inputs, matches
 from craterloom.sources import readers, sinks
 from craterloom.sources.scratch import ensure_checkpoint_dir
 
@@ -129,6 +130,19 @@ def test_phase_shift_and_congruency():
     assert d.shape == (96,) and abs(np.linalg.norm(d) - 1) < 1e-9
 
 
+def test_corner_queries_keep_all_corners(spark, data):
+    """Each raster gives every corner that the operator finds, r11 every one whose correlations have a peak."""
+    px = inputs.relation(spark, data, "pixels").toPandas()
+    images = {int(k): kernels.image_of(g) for k, g in px.groupby("raster_id")}
+    want = sorted((k, y, x) for k, image in images.items() for y, x in kernels.corners(image))
+    assert max(sum(k == r for r, _, _ in want) for k in list(images)[:5]) > 10
+    for q in (matches.t10_corners, matches.r9_descriptors):
+        assert sorted((r.raster_id, r.y, r.x) for r in q(spark, data).collect()) == want
+    got = {(r.pair, r.y, r.x) for r in matches.r11_ncc_subpixel(spark, data).collect()}
+    first = {(k // 2, y, x) for k, y, x in want if k % 2 == 0 or k - 1 not in images}
+    assert got <= first and len(got) > 0.9 * len(first)
+
+
 def test_structural_band_is_the_first_component(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(6, 6))
