@@ -44,13 +44,25 @@ def residuals(h: np.ndarray, src: np.ndarray, ref: np.ndarray) -> np.ndarray:
     return np.sqrt(((p[:, :2] / w - ref) ** 2).sum(1))
 
 
-def consensus(model: str, src: np.ndarray, ref: np.ndarray, threshold: float, rounds: int = 200, seed: int = 7):
-    """Transform, inlier mask and rmse by sample consensus and refits on the inliers; null below the minimum."""
+def draws(share: float, least: int, confidence: float) -> float:
+    """Draws after which one of inliers only was met with this confidence, where this share are inliers."""
+    clean = share**least
+    return np.log1p(-confidence) / np.log1p(-clean) if 0 < clean < 1 else (0.0 if clean else np.inf)
+
+
+def consensus(model: str, src: np.ndarray, ref: np.ndarray, threshold: float, rounds: int = 5000, seed: int = 7, confidence: float = 0.999, at_least: int = 200):
+    """Transform, inlier mask and rmse by sample consensus and refits on the inliers; null below the minimum.
+
+    Draws go on until the best inlier share so far gives the confidence, for at_least draws and at most rounds.
+    """
     least = MODELS[model][0]
     if len(src) < least:
         return None
     rng, best, count = np.random.default_rng(seed), None, -1
-    for _ in range(rounds):
+    needed = np.inf
+    for i in range(rounds):
+        if i >= max(at_least, needed):
+            break
         pick = rng.choice(len(src), least, replace=False)
         h = fit(model, src[pick], ref[pick])
         if h is None or not np.isfinite(h).all():
@@ -60,6 +72,7 @@ def consensus(model: str, src: np.ndarray, ref: np.ndarray, threshold: float, ro
             best, count = inside, int(inside.sum())
             if count == len(src):
                 break
+            needed = draws(count / len(src), least, confidence)
     if best is None or count < least:
         return None
     for _ in range(3):
@@ -73,14 +86,14 @@ def consensus(model: str, src: np.ndarray, ref: np.ndarray, threshold: float, ro
     return h, best, float(np.sqrt((r[best] ** 2).mean()))
 
 
-def fitted(points: DataFrame, models: tuple[str, ...] = ("HOMOGRAPHY",), threshold: float = 3.0) -> DataFrame:
-    """One row for each pair and model that could be fitted."""
+def fitted(points: DataFrame, models: tuple[str, ...] = ("HOMOGRAPHY",), threshold: float = 3.0, rounds: int = 5000, confidence: float = 0.999) -> DataFrame:
+    """One row for each pair and model that could be fitted; rounds and confidence bound the draws of consensus()."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("tp_id")
         src, ref = pdf[["src_x", "src_y"]].to_numpy(), pdf[["ref_x", "ref_y"]].to_numpy()
         rows = []
         for m in models:
-            if (got := consensus(m, src, ref, threshold)) is not None:
+            if (got := consensus(m, src, ref, threshold, rounds, confidence=confidence)) is not None:
                 h, inside, rmse = got
                 n = len(src)
                 rows.append((pdf["pair_id"].iloc[0], m, int(inside.sum()), n, rmse, n * np.log(rmse**2 + 1e-6) + MODELS[m][1] * np.log(max(n, 1)), *h.ravel().tolist()))

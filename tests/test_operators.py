@@ -60,6 +60,22 @@ def test_consensus_finds_a_homography_among_outliers(spark):
     assert few.count() == 0
 
 
+def test_consensus_draws_until_many_outliers_are_passed(spark):
+    """A fifth of the points are inliers: 200 draws meet four of them with 27 per cent chance, 5000 with over 99.9."""
+    rows, h = [], np.array([[1.02, 0.03, 5], [-0.02, 0.98, -7], [1e-5, 2e-5, 1]])
+    for pair in range(6):
+        rng = np.random.default_rng(pair)
+        src = rng.uniform(0, 1000, (100, 2))
+        p = np.column_stack([src, np.ones(100)]) @ h.T
+        ref = p[:, :2] / p[:, 2:]
+        ref[rng.permutation(100)[20:]] = rng.uniform(0, 1000, (80, 2))
+        rows += [(pair, i, *map(float, src[i]), *map(float, ref[i]), 1.0) for i in range(100)]
+    found = lambda **bound: sum(r.inliers >= 20 and np.allclose([[r[f"h{i}{j}"] for j in range(3)] for i in range(3)], h, atol=1e-3) for r in estimation.fitted(points(spark, rows), ("HOMOGRAPHY",), 1.0, **bound).collect())
+    assert found() == 6
+    assert found(rounds=200) < 6
+    assert estimation.draws(0.5, 4, 0.999) == pytest.approx(np.log(0.001) / np.log(1 - 0.5**4)) and estimation.draws(1.0, 4, 0.999) == 0
+
+
 def test_inverse_undoes(spark):
     df = spark.createDataFrame([(1.1, 0.2, 3.0, -0.1, 0.9, 4.0, 1e-4, 2e-4, 1.0)], ", ".join(f"{c} double" for c in T.H))
     x, y = T.applied(F.lit(10.0), F.lit(20.0))
