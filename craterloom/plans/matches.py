@@ -132,7 +132,7 @@ def r7_phase_shift(spark, d):
     return rounded(_pairs_of(spark, d, run, "pair long, dx double, dy double, response double"))
 
 
-@query("R6 R8 R19", None)
+@query("R6", None)
 def r6_similarity(spark, d):
     def run(k, a, b):
         rotation, scale, response = K.similarity(a, b)
@@ -155,7 +155,7 @@ def r11_ncc_subpixel(spark, d):
     return rounded(grid.select("pair", "y", "x", *(fit[c].alias(c) for c in ("dx", "dy", "peak"))).where("dx is not null"))
 
 
-@query("R20 R21 R22 P24", None)
+@query("R20 R21 P24", None)
 def r20_registration_run(spark, d):
     """Match, thin, fit, evaluate: one report row for each pair."""
     from craterloom.functions import transforms as T

@@ -48,7 +48,7 @@ def s6_tiff_round_trip(spark, d):
 _CR = "WITH c AS (SELECT (n_nationkey * 37 % 64) AS cx, (n_nationkey * 53 % 48) AS cy, 2 + n_nationkey % 5 AS radius, 1.0e0 + n_nationkey % 3 AS depth FROM nation)"
 
 
-@query("S21 S22", _CR + """, p AS (SELECT CAST(i // 64 AS INT) AS y, CAST(i % 64 AS INT) AS x FROM (SELECT unnest(range(0, 3072)) AS i)), r AS (SELECT y, x, depth, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) / radius AS r FROM p, c)
+@query("S21", _CR + """, p AS (SELECT CAST(i // 64 AS INT) AS y, CAST(i % 64 AS INT) AS x FROM (SELECT unnest(range(0, 3072)) AS i)), r AS (SELECT y, x, depth, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) / radius AS r FROM p, c)
 SELECT y, x, round(sum(CASE WHEN r < 1 THEN depth * (r * r - 1) + 0.2 * depth WHEN r <= 3 THEN 0.2 * depth * exp(-2 * (r - 1)) ELSE 0 END), 6) AS z FROM r GROUP BY y, x""")
 def s21_terrain(spark, d):
     n = F.col("n_nationkey")

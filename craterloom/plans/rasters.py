@@ -104,14 +104,14 @@ def p25_border_crop(spark, d):
     return R.border_strips(p)
 
 
-@query("R18 T9 J16", duck("products") + """, s AS (SELECT k AS raster_id, width AS w, height AS h FROM products WHERE width > 0 AND height > 0), r AS (SELECT raster_id, w, h, unnest(range(0, CASE WHEN h <= 256 THEN 1 ELSE CAST(ceil((h - 256) / 192.0) AS BIGINT) + 1 END)) * 192 AS ro FROM s),
+@query("R18", duck("products") + """, s AS (SELECT k AS raster_id, width AS w, height AS h FROM products WHERE width > 0 AND height > 0), r AS (SELECT raster_id, w, h, unnest(range(0, CASE WHEN h <= 256 THEN 1 ELSE CAST(ceil((h - 256) / 192.0) AS BIGINT) + 1 END)) * 192 AS ro FROM s),
 c AS (SELECT *, unnest(range(0, CASE WHEN w <= 256 THEN 1 ELSE CAST(ceil((w - 256) / 192.0) AS BIGINT) + 1 END)) * 192 AS co FROM r) SELECT raster_id, CAST(ro AS INT) AS row_off, CAST(co AS INT) AS col_off, CAST(least(256, h - ro) AS INT) AS h, CAST(least(256, w - co) AS INT) AS w FROM c""")
 def r18_tile_windows(spark, d):
     p = relation(spark, d, "products").where("width > 0 and height > 0").select(F.col("k").alias("raster_id"), "height", "width")
     return R.tile_windows(p, 256, 192)
 
 
-@query("M23 R15 R16", _PX + """, pt AS (SELECT DISTINCT raster_id, CAST(raster_id * 13 % 70 AS DOUBLE) / 10 AS px, CAST(raster_id * 29 % 70 AS DOUBLE) / 10 AS py FROM pixels), c AS (SELECT p.raster_id, v.value, (CASE WHEN dy = 1 THEN py - floor(py) ELSE 1 - py + floor(py) END) * (CASE WHEN dx = 1 THEN px - floor(px) ELSE 1 - px + floor(px) END) AS w
+@query("M23", _PX + """, pt AS (SELECT DISTINCT raster_id, CAST(raster_id * 13 % 70 AS DOUBLE) / 10 AS px, CAST(raster_id * 29 % 70 AS DOUBLE) / 10 AS py FROM pixels), c AS (SELECT p.raster_id, v.value, (CASE WHEN dy = 1 THEN py - floor(py) ELSE 1 - py + floor(py) END) * (CASE WHEN dx = 1 THEN px - floor(px) ELSE 1 - px + floor(px) END) AS w
 FROM pt p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx) JOIN pixels v ON v.raster_id = p.raster_id AND v.y = floor(py) + dy AND v.x = floor(px) + dx WHERE v.value IS NOT NULL) SELECT raster_id, round(sum(w * value) / sum(w), 6) AS value FROM c WHERE w > 0 GROUP BY raster_id""")
 def m23_bilinear(spark, d):
     px = _pixels(spark, d)
