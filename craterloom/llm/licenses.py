@@ -15,11 +15,16 @@ Defined results
 ---------------
 * A null text counts as empty: no words, no labels, score 0, null first and last word.
 * Repeated rows get equal results.  An empty table gives no rows.  Other columns are not looked at.
-* Equal coverages of one template: the earliest span.  score: the largest coverage, 1 with a base phrase.
+* Every chain of MIN_COVER or more gives a span, unless it overlaps a better one of its template; of equal
+  ones the earliest.  score: the largest coverage, 1 with a base phrase.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from heapq import heapify, heappop, heappush
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -222,32 +227,57 @@ class Scanner:
                         placed.setdefault((r, t), []).append((stop - length, stop, t_end - length, t_end))
                 a, r = e, r + 1
         for (r, t), found in placed.items():
-            cover, start, stop = self.chain(found)
-            if (cover := cover / self.sizes[t]) >= MIN_COVER:
-                out[r][2].append((self.labels[t], start, stop - 1, cover))
+            for cover, start, stop in self.chains(found, MIN_COVER * self.sizes[t], self.sizes[t]):
+                out[r][2].append((self.labels[t], start, stop - 1, cover / self.sizes[t]))
         return out
 
     @staticmethod
-    def chain(found: list[tuple[int, int, int, int]]) -> tuple[int, int, int]:
-        """Best chain of matches (text start, end, template start, end): template words covered, text start and end."""
+    def chains(found: list[tuple[int, int, int, int]], least: float, size: int) -> list[tuple[int, int, int]]:
+        """Chains of matches (text start, end, template start, end) that cover ``least`` words of a template of this size.
+
+        Best first, each with its template words covered, text start and end; the earliest of equal ones; none
+        overlaps a better one.  The matches that a chain leaves behind it are chained anew, as far as it can matter.
+        """
         found.sort()
         best: list[tuple[int, int, int]] = []
-        top, low = (0, 0, 0), 0
-        for i, (a, b, ta, tb) in enumerate(found):
-            while found[low][1] + MAX_GAP < a and low < i:
-                low += 1
+        gone = [False] * len(found)
+        reach = list(accumulate((m[1] for m in found), max))  # no match up to here ends later
+        starts = [m[0] for m in found]
+
+        def chain(i: int, first: int) -> tuple[int, int, int]:
+            """Best chain that ends with match i and begins at this match or later."""
+            a, b, ta, tb = found[i]
             own = (tb - ta, a, b)
-            for j in range(low, i):
-                pa_, pb, pta, ptb = found[j]
+            for j in range(max(first, bisect_left(reach, a - MAX_GAP)), i):
+                pb, pta, ptb = found[j][1:]
                 over = max(0, pb - a, ptb - ta)  # words that both would count
-                if pta < ta and ptb < tb and pb < b and over < tb - ta and a - pb <= MAX_GAP and ta - ptb <= MAX_GAP:
+                if not gone[j] and pta < ta and ptb < tb and pb < b and over < tb - ta and a - pb <= MAX_GAP and ta - ptb <= MAX_GAP:
                     cover = best[j][0] + tb - ta - over
                     if cover > own[0]:
                         own = (cover, best[j][1], b)
-            best.append(own)
-            if own[0] > top[0]:
-                top = own
-        return top
+            return own
+
+        for i in range(len(found)):
+            best.append(chain(i, 0))
+        queue = [(-c, a, b, i) for i, (c, a, b) in enumerate(best) if c >= least]
+        heapify(queue)
+        out = []
+        while queue:
+            c, start, stop, i = heappop(queue)
+            if gone[i] or best[i] != (-c, start, stop):
+                continue
+            out.append(best[i])
+            # a chain's text is at most so long, so that matches farther off have nothing to do with this one
+            span = size * (MAX_GAP + 1)
+            first = bisect_left(starts, stop)
+            for j in range(bisect_left(starts, start - span), first):
+                gone[j] = gone[j] or found[j][1] > start
+            for j in range(first, bisect_left(starts, stop + span)):
+                if not gone[j] and best[j][1] < stop:
+                    best[j] = chain(j, first)
+                    if best[j][0] >= least:
+                        heappush(queue, (-best[j][0], *best[j][1:], j))
+        return out
 
 
 _SCANNER: list[Scanner] = []

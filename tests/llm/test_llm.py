@@ -297,6 +297,43 @@ def test_template_that_another_one_prolongs(spark):
         assert (r.labels, r.score) == ("apache-2.0", 1.0) and [(s.first_word, s.last_word) for s in r.spans] == [(0, 7)]
 
 
+def test_every_copy_of_a_notice_has_a_span(spark):
+    mit = "Released under the MIT License"
+    texts = [f"{mit}. {mit}.", f"{mit} {'x ' * 40} {mit} {'y ' * 40}{mit}", " ".join([mit] * 3000)]
+    got = {r.doc_id: [(s.first_word, s.last_word) for s in r.spans if s.coverage == 1] for r in licenses.scan_licenses(documents(spark, list(enumerate(texts)))).collect()}
+    assert got[0] == [(0, 4), (5, 9)] and got[1] == [(0, 4), (45, 49), (90, 94)] and got[2] == [(5 * i, 5 * i + 4) for i in range(3000)]
+
+
+def test_chains_do_not_overlap_a_better_one():
+    def dearest(found, least):
+        """The best chain of what does not overlap those taken, again and again."""
+        out = []
+        while True:
+            top, best = (0, 0, 0), []
+            for i, (a, b, ta, tb) in enumerate(found):
+                best.append((tb - ta, a, b))
+                for j in range(i):
+                    pb, pta, ptb = found[j][1:]
+                    over = max(0, pb - a, ptb - ta)
+                    apart = all(not (best[j][1] < q and b > p) for _, p, q in out)
+                    if apart and pta < ta and ptb < tb and pb < b and over < tb - ta and max(a - pb, ta - ptb) <= licenses.MAX_GAP and best[j][0] + tb - ta - over > best[-1][0]:
+                        best[-1] = (best[j][0] + tb - ta - over, best[j][1], b)
+                if best[-1][0] > top[0] or (best[-1][0] == top[0] and best[-1][1:] < top[1:]):
+                    top = best[-1]
+            if top[0] < least:
+                return out
+            out.append(top)
+            found = [m for m in found if m[1] <= top[1] or m[0] >= top[2]]
+
+    rng = random.Random(8)
+    for _ in range(300):
+        found = set()
+        for _ in range(rng.randint(1, 40)):
+            n, a, t = rng.randint(3, 7), rng.randrange(150), rng.randrange(14)
+            found.add((a, a + n, t, t + n))
+        assert licenses.Scanner.chains(sorted(found), 6, 20) == dearest(sorted(found), 6)
+
+
 def test_licenses(spark, data):
     notice = licenses.TEMPLATES[14][1]
     rows = [*ROWS, (30, "See CC BY and cc-by; general PUBLIC license."), (31, "head " + notice.upper() + " tail"), (32, "All rights reserved"), (33, "all rights"), (34, notice[:60]), (35, notice.replace("modify", "adapt"))]
