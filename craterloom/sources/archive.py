@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 
 MANIFEST_FIELDS = ("id", "mission", "instrument", "status")
 
+#: All fields that an entry of a dataset manifest needs, and the values of its validation_status.
+REQUIRED_FIELDS = (
+    "id", "mission", "spacecraft", "instrument", "product_id", "product_level", "acquisition_utc", "latitude", "longitude", "resolution_m_per_px", "image_dimensions", "geometry_available",
+    "calibration_status", "source", "source_url", "local_path", "checksum_sha256", "license", "processing_status", "registration_suitability", "validation_status", "ground_truth_source", "notes",
+)
+VALIDATION_STATUS = ("pending", "available", "validated", "partial", "failed", "not_tested")
+
 
 def find_one(products: DataFrame, product_id: str) -> DataFrame:
     """The one product of this id; an error that says how many there are otherwise (raised when the rows are read)."""
@@ -20,7 +27,10 @@ def find_one(products: DataFrame, product_id: str) -> DataFrame:
 
 
 def dataset_manifest(spark: SparkSession, path: str, fields: tuple[str, ...] = MANIFEST_FIELDS) -> DataFrame:
-    """Entries of a YAML manifest's ``datasets`` list; missing fields are an error that names the entry."""
+    """Entries of a YAML manifest's ``datasets`` list; missing fields are an error that names the entry.
+
+    Only the fields asked for are checked and returned; full_manifest() asks for all.
+    """
     import yaml
 
     with open(path, encoding="utf-8") as f:
@@ -28,11 +38,20 @@ def dataset_manifest(spark: SparkSession, path: str, fields: tuple[str, ...] = M
     if not isinstance(entries, list):
         raise ValueError("a manifest needs a list of datasets")
     for i, e in enumerate(entries):
+        if not isinstance(e, dict):
+            raise ValueError(f"dataset {i}: not a mapping of fields")
         if missing := [x for x in fields if x not in e]:
             raise ValueError(f"dataset {e.get('id', i)}: missing {', '.join(missing)}")
+        if "validation_status" in fields and str(e["validation_status"]).lower() not in VALIDATION_STATUS:
+            raise ValueError(f"dataset {e.get('id', i)}: validation_status {e['validation_status']} is none of {', '.join(VALIDATION_STATUS)}")
     return spark.createDataFrame([tuple(str(e[x]) if e[x] is not None else None for x in fields) for e in entries], ", ".join(f"{x} string" for x in fields))
 
 
+def full_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a manifest with all REQUIRED_FIELDS; one without a field or with another validation_status is an error."""
+    return dataset_manifest(spark, path, REQUIRED_FIELDS)
+
+
 def archive_status(spark: SparkSession, mission: str, url: str, opener=urllib.request.urlopen) -> DataFrame:
     """One row: mission, url, available, http_status, message of a HEAD request; failures are rows too."""
     try:

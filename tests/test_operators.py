@@ -215,6 +215,23 @@ def test_dataset_manifest(spark, tmp_path):
         archive.dataset_manifest(spark, str(tmp_path / "m.yaml"))
 
 
+def test_full_manifest(spark, tmp_path):
+    yaml = pytest.importorskip("yaml")
+    from craterloom.sources import archive
+
+    def read(**fields):
+        (tmp_path / "m.yaml").write_text(yaml.safe_dump({"datasets": [{k: v for k, v in fields.items() if v != "-"}]}))
+        return archive.full_manifest(spark, str(tmp_path / "m.yaml"))
+
+    whole = {f: f"a {f}" for f in archive.REQUIRED_FIELDS} | {"validation_status": "Not_tested"}
+    assert len(whole) == 23 and read(**whole).first().asDict() == whole
+    for f in archive.REQUIRED_FIELDS:
+        with pytest.raises(ValueError, match=f"missing {f}$"):
+            read(**whole | {f: "-"})
+    with pytest.raises(ValueError, match="validation_status fine is none of"):
+        read(**whole | {"validation_status": "fine"})
+
+
 def test_find_one_fails_on_none(spark):
     from craterloom.sources import archive
 
