@@ -6,7 +6,8 @@ rows is drawn, some of them become Nystroem landmarks, and one-versus-rest kerne
 is solved on the Nystroem features.  Landmark weights fold into one weight per n-gram and language,
 so a batch of texts is scored by one product of its (sparse) presence matrix and that weight matrix.
 
-Parameters: PER_LANGUAGE bounds the labelled sample for each language (any row may be drawn), LANDMARKS the landmarks, RIDGE the ridge.  Every text is scored whole.
+Parameters: PER_LANGUAGE bounds the labelled sample for each language (any row may be drawn), LANDMARKS the landmarks, RIDGE the ridge.  LANGUAGES is the most label values that are learned; more are
+an error, none is dropped.  Every text is scored whole.
 
 Defined results
 ---------------
@@ -26,7 +27,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from craterloom.llm.core import SLICE_BYTES, tidy
 
-PER_LANGUAGE, LANDMARKS, RIDGE = 400, 256, 1e-2
+PER_LANGUAGE, LANDMARKS, RIDGE, LANGUAGES = 400, 256, 1e-2, 500
 #: Character classes: the commonest letters of the sample, then space, digit, other mark, other letter.
 CLASSES = 64
 LETTERS = CLASSES - 5
@@ -157,10 +158,15 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     return Model(languages, letters, weights)
 
 
-def labelled_sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, per_language: int) -> tuple[list, list]:
-    """per_language rows of each language at most; every row has the same chance, however often its id or text is repeated."""
+def labelled_sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, per_language: int, languages: int = LANGUAGES) -> tuple[list, list]:
+    """per_language rows of each language at most; every row has the same chance, however often its id or text is repeated.
+
+    More label values than languages are an error.
+    """
     ok = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    sizes = {r[0]: r[1] for r in ok.groupBy(lang_col).count().orderBy(F.col("count").desc(), lang_col).limit(500).collect()}
+    sizes = {r[0]: r[1] for r in ok.groupBy(lang_col).count().orderBy(F.col("count").desc(), lang_col).limit(languages + 1).collect()}
+    if len(sizes) > languages:
+        raise ValueError(f"{lang_col} has more than {languages} values; raise languages to learn them all")
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, per_language * 1.25 / n))).otherwise(share)
@@ -196,8 +202,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model:
-    return fit(*labelled_sample(docs, ~held_out(), "doc_id", "text", "lang", per_language), landmarks)
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, languages: int = LANGUAGES) -> Model:
+    return fit(*labelled_sample(docs, ~held_out(), "doc_id", "text", "lang", per_language, languages), landmarks)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

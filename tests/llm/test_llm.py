@@ -93,6 +93,16 @@ def test_language_id_edge_cases(spark, data):
     assert langid.identify(documents(spark, []), model).count() == 0
 
 
+def test_no_language_is_dropped(spark):
+    rows = [(i, f"text of {i} {chr(97 + i % 26) * 3}", f"l{i % 6}") for i in range(60)]
+    assert len(langid.train(documents(spark, rows), languages=6).languages) == 6
+    with pytest.raises(ValueError, match="more than 5 values"):
+        langid.train(documents(spark, rows), languages=5)
+    many = spark.range(2004).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id % 501) AS lang")
+    with pytest.raises(ValueError, match="more than 500 values"):
+        langid.train(many)
+
+
 def test_kernel_is_what_the_weights_say():
     texts = ["abc abd", "xyz xya", "abc abc", "xyy xyz", "bca"]
     model = langid.fit(texts[:4], ["a", "x", "a", "x"], landmarks=4, ridge=1e-6)
