@@ -30,7 +30,7 @@ def continuum(cube: DataFrame, wavelengths: DataFrame, low: float = 1000.0, high
     wavelengths: band, nm.
     """
     clean = clean_bands(cube)
-    bands = clean.select("cube_id", "band").distinct().join(F.broadcast(wavelengths.limit(10_000)), "band")  # bands of a sensor: hundreds
+    bands = clean.select("cube_id", "band").distinct().join(wavelengths, "band")
     middle = (low + high) / 2
     pick = bands.groupBy("cube_id").agg(F.max(F.col("nm").between(low, high)).alias("any"), F.min_by("band", F.struct(F.abs(F.col("nm") - middle), F.col("band"))).alias("near"))
     used = bands.join(pick, "cube_id").where((F.col("any") & F.col("nm").between(low, high)) | (~F.col("any") & (F.col("band") == F.col("near")))).select("cube_id", "band")

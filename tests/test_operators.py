@@ -169,6 +169,13 @@ def test_structural_band_is_the_first_component(spark):
     assert np.corrcoef(got, base.ravel())[0, 1] > 0.999
 
 
+def test_continuum_reads_every_wavelength(spark):
+    cube = spark.createDataFrame([(1, b, 0, x, v) for b in (1, 25_000) for x, v in enumerate([1.0, 2.0, 3.0] if b == 1 else [9.0, 5.0, 7.0])], "cube_id long, band int, y int, x int, value double")
+    table = spark.range(25_001).selectExpr("CAST(id AS INT) AS band", "CASE id WHEN 25000 THEN 1100.0D ELSE 400.0D END AS nm")
+    got = {r.x: r.value for r in spectral.continuum(cube, table).collect()}
+    assert got[0] == 1 and got[1] == 0 and 0.4 < got[2] < 0.6  # band 25,000 alone is in the range
+
+
 def test_flat_raster(spark):
     df = spark.createDataFrame([(1, y, x, 2.0) for y in range(3) for x in range(3)], "raster_id long, y int, x int, value double")
     r = raster.quality(df).first()
