@@ -2,19 +2,27 @@
 
 The kernel of two texts is the number of distinct character n-grams (n = 1 .. 3, blended) that both
 hold, divided by the geometric mean of what each shares with itself.  A bounded sample of labelled
-rows is drawn, some of them become Nystroem landmarks, and one-versus-rest kernel ridge regression
+passages is drawn, some of them become Nystroem landmarks, and one-versus-rest kernel ridge regression
 is solved on the Nystroem features.  Landmark weights fold into one weight per n-gram and language,
 so a batch of texts is scored by one product of its (sparse) presence matrix and that weight matrix.
 
-Parameters: PER_LANGUAGE bounds the labelled sample for each language (any row may be drawn), LANDMARKS the landmarks, RIDGE the ridge.  LANGUAGES is the most label values that are learned; more are
-an error, none is dropped.  Every text is scored whole.
+An n-gram is its code points, packed into one 64-bit number without loss, so no script has to share
+symbols with another one.  Letters are taken in lower case, digits as 0, white space as a blank and
+whatever else as a full stop.
+
+Parameters of the learning sample, all documented bounds: PASSAGE characters make a passage (every
+labelled text is cut into passages from end to end, none is left out); PER_LANGUAGE passages are drawn
+for each language, each passage of the table with the same chance; LANDMARKS of them are landmarks;
+LANGUAGES is the most label values that are learned, more are an error, none is dropped; RIDGE is the
+ridge.  Every text is scored whole.
 
 Defined results
 ---------------
 * Null text, or text without a letter: language ``und``, score 0.
 * Rows with a null label or null id are not learned from; a null id is not held out.
 * Without any labelled row every text is ``und``.  Equal scores go to the alphabetically first language.
-* Repeated rows get equal results.  An empty table gives no rows; clashing extra columns are ignored.
+* Repeated rows get equal results.  An empty table gives no rows.  Of the columns only the text (and,
+  for learning, id and label) are looked at; ``identify`` replaces columns named lang_pred or score.
 """
 
 from __future__ import annotations
@@ -27,71 +35,102 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from craterloom.llm.core import SLICE_BYTES, tidy
 
-PER_LANGUAGE, LANDMARKS, RIDGE, LANGUAGES = 400, 256, 1e-2, 500
-#: Character classes: the commonest letters of the sample, then space, digit, other mark, other letter.
-CLASSES = 64
-LETTERS = CLASSES - 5
+PER_LANGUAGE, LANDMARKS, RIDGE, LANGUAGES, PASSAGE = 400, 256, 1e-2, 500, 20_000
+_TOP, _BITS = 0x110000, 21
 
 
-class Alphabet:
-    """Maps lower-cased text to small codes, 0 never used."""
+class Symbols:
+    """Code points as kernel symbols: 1 + the code point of the folded character (0 is free)."""
 
-    def __init__(self, letters: str):
-        self.table = np.zeros(0x110000, np.uint8)
-        self.letters = letters[:LETTERS]
-        self.table[:] = CLASSES - 1  # a letter outside the alphabet
-        self.is_letter = np.zeros(0x110000, bool)
-        for first in range(0, 0x110000, 0x1000):
+    def __init__(self):
+        self.table = np.empty(_TOP, np.uint32)
+        self.is_letter = np.zeros(_TOP, bool)
+        for first in range(0, _TOP, 0x1000):
             text = [chr(p) for p in range(first, first + 0x1000)]
-            kinds = [np.fromiter(map(f, text), bool, len(text)) for f in (str.isalpha, str.isdigit, str.isspace)]
-            part = self.table[first:first + 0x1000]
-            self.is_letter[first:first + 0x1000] = kinds[0]
-            part[~kinds[0]] = CLASSES - 2
-            part[kinds[1]] = CLASSES - 3
-            part[kinds[2]] = CLASSES - 4
-        for i, c in enumerate(self.letters):
-            self.table[ord(c)] = i + 1
-
-    def points(self, text: str) -> np.ndarray:
+            letter, digit, space = (np.fromiter(map(f, text), bool, len(text)) for f in (str.isalpha, str.isdigit, str.isspace))
+            part = np.arange(first, first + 0x1000, dtype=np.uint32)
+            part[~letter] = ord(".")
+            part[digit] = ord("0")
+            part[space] = ord(" ")
+            self.table[first:first + 0x1000] = part + 1
+            self.is_letter[first:first + 0x1000] = letter
+
+    @staticmethod
+    def points(text: str) -> np.ndarray:
         return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def grams(codes: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    """Sorted distinct n-grams, n = 1 .. 3, as numbers below CLASSES ** 3; flags is scratch, left all false."""
-    a = codes.astype(np.int32)
-    flags[a] = True
-    if len(a) > 1:
-        b = a[:-1] * CLASSES + a[1:]
-        flags[b] = True
-        if len(a) > 2:
-            flags[b[:-1] * CLASSES + a[2:]] = True
-    out = np.flatnonzero(flags)
-    flags[out] = False
-    return out
+_SYMBOLS: list[Symbols] = []
+
+
+def symbols() -> Symbols:
+    if not _SYMBOLS:
+        _SYMBOLS.append(Symbols())
+    return _SYMBOLS[0]
+
+
+def grams(text: str) -> np.ndarray:
+    """Sorted distinct n-grams, n = 1 .. 3, each packed into 64 bits."""
+    a = symbols().table[symbols().points(text)].astype(np.uint64)
+    b = a[:-1] | a[1:] << np.uint64(_BITS)
+    c = b[:-1] | a[2:] << np.uint64(2 * _BITS)
+    return np.unique(np.concatenate([a, b, c]))
 
 
 class Model:
-    def __init__(self, languages: list[str], letters: str, weights: np.ndarray):
-        self.languages, self.letters, self.weights = languages, letters, weights
-        self._alphabet = None
+    """languages, known n-grams (sorted) and their weights, one column per language."""
+
+    #: Alphabets up to this size are looked up in a table of their own; the results are the same.
+    SMALL = 128
+
+    def __init__(self, languages: list[str], known: np.ndarray, weights: np.ndarray):
+        self.languages, self.known = languages, known
+        self.weights = np.vstack([weights, np.zeros((1, weights.shape[1]))])  # the last row: any other n-gram
 
     def __getstate__(self):
-        return self.languages, self.letters, self.weights
+        return self.languages, self.known, self.weights[:-1]
 
     def __setstate__(self, state):
         self.__init__(*state)
 
-    @property
-    def alphabet(self) -> Alphabet:
-        if self._alphabet is None:
-            self._alphabet = Alphabet(self.letters)
-        return self._alphabet
+    def _rows(self, texts: list[str]):
+        """For each text the rows of the weights that its distinct n-grams have; unknown ones have the last."""
+        points = [symbols().table[symbols().points(t)] for t in texts]
+        there = np.zeros(_TOP + 1, bool)
+        for p in points:
+            there[p] = True
+        alphabet = np.flatnonzero(there)
+        n, none = len(alphabet) + 1, len(self.known)
+        if n > self.SMALL:
+            for t in texts:
+                g = grams(t)
+                at = np.minimum(np.searchsorted(self.known, g), max(0, none - 1))
+                yield np.where(self.known[at] == g, at, none) if none else np.zeros(len(g), np.int64)
+            return
+        small = np.zeros(_TOP + 1, np.int32)
+        small[alphabet] = np.arange(1, n)
+        mask = np.uint64((1 << _BITS) - 1)
+        parts = [(self.known >> np.uint64(_BITS * k) & mask).astype(np.int64) for k in range(3)]
+        codes = [small[p] for p in parts]
+        here = np.ones(none, bool)
+        for p, c in zip(parts, codes):
+            here &= (p == 0) | (c > 0)
+        row = np.full(n**3, none, np.int32)
+        row[(codes[0] + n * codes[1] + n * n * codes[2])[here]] = np.flatnonzero(here)
+        flags = np.zeros(n**3, bool)
+        for p in points:
+            a = small[p]
+            b = a[:-1] + n * a[1:]
+            flags[a] = flags[b] = True
+            flags[b[:-1] + n * n * a[2:]] = True
+            g = np.flatnonzero(flags)
+            flags[g] = False
+            yield row[g]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        flags = np.zeros(CLASSES**3, bool)
-        rows, counts, live = [], [], []
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
-        abc = self.alphabet
+        live = [i for i, t in enumerate(texts) if t and self.languages and symbols().is_letter[symbols().points(t)].any()]
+        rows, counts, at = [], [], []
 
         def flush():
             if rows:
@@ -99,21 +138,15 @@ class Model:
                 # presence matrix times weights: each text's rows of the weight matrix, added up
                 s = np.add.reduceat(self.weights[np.concatenate(rows)], starts, axis=0) / np.sqrt(np.array(counts))[:, None]
                 best = s.argmax(1)
-                for i, j, v in zip(live, best, s[np.arange(len(s)), best]):
+                for i, j, v in zip(at, best, s[np.arange(len(s)), best]):
                     lang[i], score[i] = self.languages[j], min(1.0, max(0.0, round(float(v), 9)))
-                rows.clear(), counts.clear(), live.clear()
-
-        for i, text in enumerate(texts):
-            if not text or not self.languages:
-                continue
-            points = abc.points(text)
-            if not abc.is_letter[points].any():
-                continue
-            g = grams(abc.table[points], flags)
-            rows.append(g)
-            counts.append(len(g))
-            live.append(i)
-            if sum(counts[-256:]) > 400_000 or len(rows) >= 256:
+                rows.clear(), counts.clear(), at.clear()
+
+        for i, r in zip(live, self._rows([texts[i] for i in live])):
+            rows.append(r)
+            counts.append(len(r))
+            at.append(i)
+            if len(rows) >= 256 or sum(counts) > 400_000:
                 flush()
         flush()
         return lang, score
@@ -122,28 +155,25 @@ class Model:
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Nystroem features of the sample, then ridge regression of one-versus-rest targets."""
     languages = sorted(set(langs))
-    counts: dict[str, int] = {}
-    for t in texts:
-        for c in t.lower():
-            counts[c] = counts.get(c, 0) + 1
-    letters = "".join(sorted((c for c in counts if c.isalpha()), key=lambda c: (-counts[c], c))[:LETTERS])
     if not languages:
-        return Model([], letters, np.zeros((0, 0)))
-    abc, flags = Alphabet(letters), np.zeros(CLASSES**3, bool)
-    sets = [grams(abc.table[abc.points(t)], flags) for t in texts]
+        return Model([], np.empty(0, np.uint64), np.zeros((0, 0)))
+    sets = [grams(t) for t in texts]
     by = {x: [i for i, y in enumerate(langs) if y == x] for x in languages}
     each = max(1, landmarks // len(languages))
     chosen = [i for x in languages for i in by[x][:each]]
-    m = len(chosen)
     known = np.unique(np.concatenate([sets[i] for i in chosen]))  # only a landmark's n-grams can weigh
-    row = np.full(CLASSES**3, len(known))
-    row[known] = np.arange(len(known))
-    present = np.zeros((len(known) + 1, m), np.float32)
+
+    def rows(s: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(known, s)
+        at[at == len(known)] = 0
+        return at[known[at] == s]
+
+    present = np.zeros((len(known), len(chosen)), np.float32)
     for j, i in enumerate(chosen):
-        present[row[sets[i]], j] = 1
+        present[rows(sets[i]), j] = 1
     norm = np.sqrt(np.array([max(1, len(s)) for s in sets], np.float64))
     present /= norm[chosen].astype(np.float32)
-    k = np.stack([present[row[s]].sum(0, dtype=np.float64) for s in sets]) / norm[:, None]
+    k = np.stack([present[rows(s)].sum(0, dtype=np.float64) for s in sets]) / norm[:, None]
     values, vectors = np.linalg.eigh(k[chosen])
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # k_mm ** -1/2
@@ -153,26 +183,29 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     y = np.array([[float(x == l) for l in languages] for x in langs])
     a = (z * w[:, None]).T @ z + ridge * w.sum() / len(texts) * np.eye(z.shape[1])
     alpha = root @ np.linalg.solve(a, (z * w[:, None]).T @ y)
-    weights = np.zeros((CLASSES**3, len(languages)))
-    weights[known] = present[:-1] @ alpha
-    return Model(languages, letters, weights)
+    return Model(languages, known, present.astype(np.float64) @ alpha)
 
 
-def labelled_sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, per_language: int, languages: int = LANGUAGES) -> tuple[list, list]:
-    """per_language rows of each language at most; every row has the same chance, however often its id or text is repeated.
+def labelled_sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, per_language: int, languages: int = LANGUAGES, passage: int = PASSAGE) -> tuple[list, list]:
+    """per_language passages of each language at most; every passage of the table has the same chance.
 
-    More label values than languages are an error.
+    The driver holds at most 1.25 * per_language * passage characters for a language, on average, before
+    it cuts down to per_language.  More label values than languages are an error.
     """
     ok = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    sizes = {r[0]: r[1] for r in ok.groupBy(lang_col).count().orderBy(F.col("count").desc(), lang_col).limit(languages + 1).collect()}
+    ok = ok.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.greatest(F.lit(1), F.ceil(F.length(text_col) / passage)).cast("int").alias("n"))
+    sizes = {r[0]: r[1] for r in ok.groupBy("l").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "l").limit(languages + 1).collect()}
     if len(sizes) > languages:
         raise ValueError(f"{lang_col} has more than {languages} values; raise languages to learn them all")
     share = F.lit(0.0)
     for lang, n in sizes.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, per_language * 1.25 / n))).otherwise(share)
-    drawn = ok.withColumn("_u", F.rand(17)).where(F.col("_u") < share).select(F.col("_u").alias("u"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).collect()
+        share = F.when(F.col("l") == lang, F.lit(min(1.0, per_language * 1.25 / n))).otherwise(share)
+    chance = lambda k: F.pmod(F.xxhash64("u", k), F.lit(1 << 30)) / float(1 << 30)  # noqa: E731  a number for each passage of each row
+    drawn = ok.withColumn("u", F.rand(17)).withColumn("share", share)
+    drawn = drawn.withColumn("ks", F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: chance(k) < F.col("share"))).where(F.size("ks") > 0)
+    drawn = drawn.select("u", "l", F.explode(F.transform("ks", lambda k: F.struct(k.alias("k"), F.substring("t", k * passage + 1, F.lit(passage)).alias("t")))).alias("p")).select("u", "l", "p.k", "p.t")
     texts, langs, seen = [], [], {}
-    for r in sorted(drawn, key=lambda r: (r.u, r.t)):
+    for r in sorted(drawn.withColumn("c", chance(F.col("k"))).collect(), key=lambda r: (r.c, r.u, r.k)):
         if seen.get(r.l, 0) < per_language:
             seen[r.l] = seen.get(r.l, 0) + 1
             texts.append(r.t)
@@ -202,8 +235,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, languages: int = LANGUAGES) -> Model:
-    return fit(*labelled_sample(docs, ~held_out(), "doc_id", "text", "lang", per_language, languages), landmarks)
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, languages: int = LANGUAGES, passage: int = PASSAGE) -> Model:
+    return fit(*labelled_sample(docs, ~held_out(), "doc_id", "text", "lang", per_language, languages, passage), landmarks)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
