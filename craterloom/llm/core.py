@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,10 +26,13 @@ CACHES: dict[str, Callable[[], None]] = {}
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of ``spark.checkpoint.dir``.
 
-    Where the session has no such folder (tests, a notebook) a temporary one is made and set.
+    Where a session in one process has no such folder (tests, a notebook) a temporary one is made and
+    set; on a cluster its lack is an error, as executors share no temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="craterloom-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
