@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from craterloom.llm import bpe, chat, components, exact_dedup, langid, licenses, near_dedup, packing, queries, suffix_array, topk, wavelet
+from craterloom.llm import bpe, chat, components, exact_dedup, langid, licenses, near_dedup, packing, queries, shingles, suffix_array, topk, wavelet
 from craterloom.llm.chunks import ChunkCache, library_cache, tokenizer_path
 from craterloom.llm.core import text_bytes
 from craterloom.llm.shingles import MinHash
@@ -52,25 +52,72 @@ def test_against_sql(name, spark, data, same):
     same(queries.QUERIES[name](spark, data), queries.ORACLES[name])
 
 
+def preferences(spark, rows, **kw):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in ("pair_id", "block", "said", "end", "part")})
+    return df, chat.format_preferences(df, F.shiftright("conv_id", 1), F.col("conv_id").bitwiseAND(F.lit(1)) == 0, **kw).collect()
+
+
+def brute_preferences(rows):
+    """For each pair: prompt, chosen and rejected text, None where a side has no turn at all there."""
+    said = {}
+    for conv, turn, role, text in rows:
+        if conv is not None and turn is not None:
+            said.setdefault(conv // 2, ({}, {}))[conv % 2].setdefault(turn, []).append((role or "user", text or ""))
+    show = lambda turns: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns) or None
+    out = {}
+    for pair, sides in said.items():
+        c, r = ({t: min(x) for t, x in side.items()} for side in sides)
+        n, every = 0, sorted(set(c) | set(r))
+        while n < len(every) and c.get(every[n]) == r.get(every[n]):
+            n += 1
+        out[pair] = (show(c[t] for t in every[:n]), show(c[t] for t in every[n:] if t in c), show(r[t] for t in every[n:] if t in r))
+    return out
+
+
+def joined(got):
+    """The parts of each pair, put together from their rows."""
+    out = {}
+    for pair in {r.pair_id for r in got}:
+        mine = sorted((r for r in got if r.pair_id == pair), key=lambda r: r.seq)
+        whole = lambda name, part: "".join(getattr(r, name) or "" for r in mine if r.part == part) or None  # noqa: B023, E731
+        out[pair] = (whole("prompt", "prompt"), whole("chosen", "completion"), whole("rejected", "completion"))
+    return out
+
+
 def test_preferences_edge_cases(spark):
     rows = [
         (0, 0, "user", "hi"), (1, 0, "user", "hi"), (0, 1, "assistant", "good"), (1, 1, "assistant", "bad"), (1, 2, None, None), (0, 1, "assistant", "good"), (0, 1, "assistant", "zzz"),
         (2, 0, "user", "only"), (4, 0, "user", "x"), (5, 0, "user", "x"), (None, 0, "user", "lost"), (6, None, "user", "lost"),
         *((k, t, "user", "t" if k == 8 or t < 290 else "u") for k in (8, 9) for t in range(300)),
+        *((k, t, "user", "t" if t < 300 else str(k)) for k in (10, 11) for t in range(304)),
+        *((2**60 + k, 0, "user", "ab"[k % 2]) for k in range(3, 8)), (-3, 0, "user", "minus"), (-4, 0, "user", "minus"), (20, -5, "user", "early"), (21, 10**12, "user", "late"),
     ]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = chat.format_preferences(df, F.floor(F.col("conv_id") / 2).cast("long"), F.col("conv_id") % 2 == 0)
-    got = {(r.pair_id, r.block): r for r in out.collect()}
-    one = {b: got[0, b] for b in (0,)}
-    assert one[0].prompt == "<|im_start|>user\nhi<|im_end|>\n" and one[0].chosen == "<|im_start|>assistant\ngood<|im_end|>\n"
-    assert one[0].rejected == "<|im_start|>assistant\nbad<|im_end|>\n<|im_start|>user\n<|im_end|>\n" and one[0].rejected_mask == "0:22,1:14,0:17,0:11"
-    assert got[1, 0].side == "chosen" and got[1, 0].prompt is None and got[1, 0].rejected is None
-    assert got[2, 0].side == "both" and got[2, 0].prompt_turns == 1 and got[2, 0].chosen is None
-    assert (got[4, 0].prompt_turns, got[4, 1].prompt_turns) == (256, 34) and got[4, 0].chosen is not None and got[4, 1].chosen is None
-    assert not any(k[0] is None or k[0] == 3 for k in got)
+    df, got = preferences(spark, rows)
+    assert joined(got) == brute_preferences(rows)
+    one = {r.part: r for r in got if r.pair_id == 0}
+    assert one["prompt"].prompt == "<|im_start|>user\nhi<|im_end|>\n" and one["completion"].chosen == "<|im_start|>assistant\ngood<|im_end|>\n"
+    assert one["completion"].rejected_mask == "0:22,1:14,0:17,0:11" and one["completion"].chosen_mask == "0:22,1:15"
+    assert {r.part for r in got if r.pair_id == 2} == {"prompt"} and {(r.part, r.side) for r in got if r.pair_id == 1} == {("completion", "chosen")}
+    # a prompt never shares a row with a completion, however long the conversations
+    assert all((r.prompt is None) == (r.part == "completion") and (r.part == "completion" or (r.chosen, r.rejected) == (None, None)) for r in got)
+    long = sorted((r.part, r.seq, r.turns) for r in got if r.pair_id == 5)
+    assert long == [("completion", 0, 4), ("prompt", 0, 256), ("prompt", 1, 44)] and {r.prompt_end for r in got if r.pair_id == 5} == {300}
+    assert {(r.pair_id, r.chosen, r.rejected) for r in got if r.pair_id == 2**59 + 2} == {(2**59 + 2, "<|im_start|>user\na<|im_end|>\n", "<|im_start|>user\nb<|im_end|>\n")}
+    assert not any(r.pair_id is None or r.pair_id == 3 for r in got)
     assert chat.format_preferences(df.limit(0), F.col("conv_id"), F.lit(True)).count() == 0
 
 
+def test_preferences_in_small_blocks(spark):
+    rng = random.Random(12)
+    rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice("ab") if t > c % 5 else "a") for c in range(40) for t in range(rng.randint(0, 12))]
+    _, got = preferences(spark, rows, block_turns=3)
+    assert joined(got) == brute_preferences(rows)
+
+
+def test_preferences_stay_with_dataframes():
+    assert not re.search(r"pandas|mapIn|applyIn|rdd|udf", "".join(open(chat.__file__).readlines()[30:]))
+
+
 # --- op2
 
 
@@ -103,12 +150,59 @@ def test_no_language_is_dropped(spark):
         langid.train(many)
 
 
-def test_kernel_is_what_the_weights_say():
-    texts = ["abc abd", "xyz xya", "abc abc", "xyy xyz", "bca"]
-    model = langid.fit(texts[:4], ["a", "x", "a", "x"], landmarks=4, ridge=1e-6)
-    flags = np.zeros(langid.CLASSES**3, bool)
-    lang, score = model.predict(texts)
-    assert lang == ["a", "x", "a", "x", "a"] and not flags.any() and (score <= 1).all()
+def brute_language(texts, langs, queries, landmarks, ridge):
+    """Presence kernels from sets of strings, Nystroem ridge regression as in the books."""
+    fold = lambda t: "".join(c if c.isalpha() else "0" if c.isdigit() else " " if c.isspace() else "." for c in t.lower())
+    sets = lambda ts: [{fold(t)[i:i + n] for n in (1, 2, 3) for i in range(len(fold(t)) - n + 1)} for t in ts]
+    kernel = lambda x, y: np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in y] for a in x])
+    names, own = sorted(set(langs)), sets(texts)
+    picked = [own[i] for n in names for i in [k for k, x in enumerate(langs) if x == n][:landmarks // len(names)]]
+    kmm, knm = kernel(picked, picked), kernel(own, picked)
+    w = np.diag([1 / langs.count(x) for x in langs])
+    y = np.array([[float(x == n) for n in names] for x in langs])
+    # of all minimisers the one in the span of the landmarks: (K_mn W K_nm + lambda K_mm) a = K_mn W y
+    a = np.linalg.lstsq(knm.T @ w @ knm + ridge * w.trace() / len(texts) * kmm, knm.T @ w @ y, rcond=None)[0]
+    score = kernel(sets(queries), picked) @ a
+    return [names[i] for i in score.argmax(1)], np.clip(score.max(1), 0, 1)
+
+
+SCRIPTS = {"en": "abcdefghij", "ru": "абвгдежзик", "ka": "აბგდევზთიკ", "hy": "աբգդեզէըթժ", "th": "กขคงจฉชซฌญ", "zh": "".join(map(chr, range(0x4E00, 0x4F80)))}
+
+
+def prose(lang, n, rng):
+    return " ".join("".join(rng.choice(SCRIPTS[lang]) for _ in range(rng.randint(2, 6))) for _ in range(n))
+
+
+def test_scores_against_direct_kernels():
+    rng = random.Random(5)
+    langs = [x for x in ("en", "ru", "zh") for _ in range(8)] + ["en"] * 5
+    texts = [prose(x, 12, rng) + rng.choice(["", " 12!", "\tA"]) for x in langs]
+    queries_ = [prose(x, 6, rng) for x in ("en", "ru", "zh", "th", "en")] + [texts[0] + texts[9], "é"]
+    for small in (langid.Model.SMALL, 1, 10_000):
+        langid.Model.SMALL, before = small, langid.Model.SMALL
+        try:
+            model = langid.fit(texts, langs, landmarks=12, ridge=0.1)
+            lang, score = model.predict(queries_)
+        finally:
+            langid.Model.SMALL = before
+        want, value = brute_language(texts, langs, queries_, 12, 0.1)
+        assert np.abs(score - value).max() < 1e-6 and [x for x, v in zip(lang, value) if v > 0.05] == [x for x, v in zip(want, value) if v > 0.05]
+
+
+def test_every_script_is_told_apart(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(x, 40, rng), x) for i, x in enumerate(list(SCRIPTS) * 12)]
+    model = langid.train(documents(spark, rows), per_language=8, landmarks=24)
+    got = langid.identify(documents(spark, [(1000 + i, prose(x, 30, rng), x) for i, x in enumerate(list(SCRIPTS) * 10)]), model).collect()
+    assert [(r.lang, r.lang_pred) for r in got if r.lang != r.lang_pred] == []
+
+
+def test_sample_is_bounded_and_reaches_every_passage(spark):
+    text = "".join(chr(97 + i) * 50 for i in range(20))
+    docs = documents(spark, [(i, text, "en") for i in range(300)] + [(500 + i, "short one", "de") for i in range(3)])
+    texts, langs = langid.labelled_sample(docs, F.lit(True), "doc_id", "text", "lang", 100, passage=50)
+    assert langs.count("en") == 100 and langs.count("de") == 3 and all(len(t) <= 50 for t in texts)
+    assert len({t[0] for t, x in zip(texts, langs) if x == "en"}) > 15
 
 
 # --- op3
@@ -444,6 +538,40 @@ def test_near_empty_and_drop(spark):
     assert sorted(r.doc_id for r in kept) == sorted({x[2] for x in brute_near(rows, 3, 85)}) and all(r.uid == "x" for r in kept)
 
 
+def test_words_that_fool_polynomial_hashes(spark):
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    rows = [(1, thue), (2, other), (3, f"x y {thue} z"), (4, f"x y {other} z"), (5, thue.upper())]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_groups(documents(spark, rows), 3, 85).collect())
+    assert got == brute_near(rows, 3, 85) and {x[2] for x in got} == {1, 2, 3, 4}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "B", "b", "cc", "\n", "é"]), max_size=9), max_size=6), st.integers(1, 5))
+def test_shingles(texts, width):
+    texts = [" ".join(t) for t in texts]
+    data, offsets = text_bytes(pa.array(texts, pa.string()))
+    want = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.replace("B", "b"))
+        want.append({tuple(w[i:i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    for got in (shingles.hashed_sets(data, offsets, width)[0], shingles.hashed_sets(data, offsets, width)[1], shingles.exact_sets(data, offsets, width)):
+        assert [len(g) for g in got] == [len(x) for x in want]
+        assert [[len(np.intersect1d(a, b)) for a in got] for b in got] == [[len(a & b) for a in want] for b in want]
+
+
+def test_words_decide_links():
+    """Signatures that all agree: every pair comes to the comparison of words."""
+    rows = [r for r in near_rows() if r[0] is not None and r[0] >= 100][:30]
+    texts = [t.encode() for _, t in rows]
+    sizes = np.array([n for _, n, _ in sorted(brute_near(rows, 3, 85).elements())])
+    links = near_dedup.Verifier(3, 85).links(list(range(30)), np.zeros((30, 128), np.uint32), sizes, texts, np.arange(30), None)
+    root = list(range(30))
+    for a, b in links:
+        root = [root[a] if x == root[b] else x for x in root]
+    assert len(set(root)) == len({c for _, _, c in brute_near(rows, 3, 85)}) < 30
+
+
 def test_bayes_thresholds():
     from math import comb
 
