@@ -7,15 +7,16 @@ common prefixes of the result show which windows of WIDTH bytes stand more than
 
 One array over a whole corpus fits no task, so windows are first dealt by content.  Each window's
 *anchor* is its K-byte substring of least hash (the leftmost, if equal): equal windows have equal
-anchors at equal places.  Neighbouring windows with one anchor place form a context.
-
-1. One pass over the texts cuts all contexts and writes them down as hashes, a row for each text.
-2. Contexts meet by anchor.  Those with the same bytes (128 bits of hash and the length) are copies:
-   all their windows are repeated, and one of them stands for all from here on.  Equal contexts of
-   one slice of text are folded before they are dealt, so a common passage leaves a slice once.
-3. Where an anchor has different contexts, their bytes meet in one task, which sorts the suffixes of
-   these contexts and reads off the repeated windows.  An anchor with over MANY contexts is dealt
-   window by window, by the hash of a window's first half, to be sorted in many tasks.
+anchors at equal places.  Neighbouring windows with one anchor place form a context.  Hashes only
+deal: what is equal, bytes decide, in every step.
+
+1. One pass over the texts cuts all contexts and writes down their places and anchors, a row for each
+   text.  Contexts of one slice of text with the same bytes are folded to one; all are repeated.
+2. Anchors are counted.  Only contexts whose anchor stands more than once go on, with their bytes.
+   Those with the same bytes are folded again, before they are dealt and where they meet.
+3. The different contexts of an anchor meet in one task, which sorts their suffixes and reads off the
+   repeated windows.  The contexts of an anchor with over MANY of them are dealt window by window, by
+   a hash of the whole window, so that no task holds more than MANY contexts of one anchor.
 4. A text's repeated windows are merged to spans, and what they cover is removed.
 
 Defined results
@@ -23,7 +24,8 @@ Defined results
 * A null text counts as empty.  Texts of fewer bytes than WIDTH have no window and lose nothing.
 * Repeated rows and copies lose all their windows, in every copy, the first included.
 * Rows are told apart by id and content; rows that share both get equal results.
-* An empty table gives no rows.  Columns with names of this module's own (``_cr_``) are not allowed.
+* An empty table gives no rows.  Other columns may have any names; those named as a result column
+  are replaced by it.
 """
 
 from __future__ import annotations
@@ -42,8 +44,8 @@ from craterloom.llm.core import Rolling, mix, text_bytes, tidy, written
 WIDTH, K = 200, 48
 #: Bytes of text whose contexts are cut at once; positions inside have 24 bits.
 SLICE = 1 << 20
-#: Contexts of one anchor from which on windows are dealt singly.
-MANY = 20_000
+#: Contexts of one anchor beyond which windows are dealt singly.
+MANY = 5_000
 #: Bytes of contexts that are sorted in one array, if their anchors' contexts are not more by themselves.
 ARRAY_BYTES = 1 << 20
 
@@ -206,12 +208,12 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:len(m) - rest], m[rest:]) if rest else m
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, k: int = K):
-    """Contexts of all rows of a slice: row, first window (in the row), windows, anchor hash, content hash."""
+def contexts(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, k: int = K, anchor: Rolling = _ANCHOR):
+    """Contexts of all rows of a slice: row, first window (its place in the data), windows, anchor hash."""
     none = np.empty(0, np.int64)
     if len(data) < width:
-        return none, none, none, none, none
-    gram = _ANCHOR.fixed(_ANCHOR.prefix(data), k)
+        return none, none, none, none
+    gram = anchor.fixed(anchor.prefix(data), k)
     key = gram >> np.uint64(24) << np.uint64(24) | np.arange(len(gram), dtype=np.uint64)
     place = (_least(key, width - k + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
     valid = np.zeros(len(data) + 1, np.int32)
@@ -221,27 +223,56 @@ def contexts(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, k: int =
     valid[offsets[held] + size[held] - width + 1] -= 1
     at = np.flatnonzero(np.cumsum(valid[:-1]))
     if not len(at):
-        return none, none, none, none, none
+        return none, none, none, none
     p = place[at]
     row = np.searchsorted(offsets, at, "right") - 1
     new = np.append(True, (p[1:] != p[:-1]) | (row[1:] != row[:-1]))
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(at)))
-    start, row = at[first], row[first]
-    content = _CONTENT.ranges(_CONTENT.prefix(data), start, start + n + (width - 1))
-    return row, start - offsets[row], n, gram[p[first]].view(np.int64), content.view(np.int64)
+    return row[first], at[first], n, gram[p[first]].view(np.int64)
+
+
+def same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes from x on and those from y on are equal, length of them, for each entry."""
+    words, top, out = _words(data, 8), len(data) - 1, np.ones(len(x), bool)
+    alive = np.arange(len(x))
+    for d in range(0, int(length.max(initial=0)), 8):
+        alive = alive[length[alive] > d]
+        rest = np.minimum(8, length[alive] - d).astype(np.uint64)
+        diff = words[np.minimum(x[alive] + d, top)] ^ words[np.minimum(y[alive] + d, top)]
+        bad = diff >> (np.uint64(64) - np.uint64(8) * rest) != 0
+        out[alive[bad]] = False
+        alive = alive[~bad]
+    return out
+
 
+def folded(data: np.ndarray, start: np.ndarray, n: np.ndarray, a: np.ndarray, width: int, content: Rolling):
+    """Contexts of a slice with the same bytes: which one stands for the others, and which have an equal one.
 
-def _parts(data: np.ndarray, offsets: np.ndarray, width: int):
-    """Slices of the rows: (first row, places of the rows' parts in the data, their start in the row)."""
+    The hash puts equal ones side by side; if it does not, they are folded later.
+    """
+    c = content.ranges(content.prefix(data), start, start + n + (width - 1))
+    order = np.lexsort((start, n, c, a))
+    x, y = order[:-1], order[1:]
+    near = np.flatnonzero((a[x] == a[y]) & (c[x] == c[y]) & (n[x] == n[y]))
+    equal = np.zeros(len(order), bool)  # to the one before in the order
+    equal[near + 1] = same_bytes(data, start[x[near]], start[y[near]], n[x[near]] + (width - 1))
+    twice, head = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    twice[order] = equal | np.append(equal[1:], False)
+    head[order] = ~equal
+    return head, twice
+
+
+def _parts(data: np.ndarray, offsets: np.ndarray, width: int, size: int = SLICE):
+    """Slices of the rows: (first row, last, the slice's place in the data, its start in the row)."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, "right")) - 1))
-        if offsets[j] - offsets[i] <= 4 * SLICE:
+        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1))
+        if offsets[j] - offsets[i] <= 4 * size:
             yield i, j, int(offsets[i]), int(offsets[j]), 0
         else:  # one very long row, in parts that overlap so that no window is lost
-            for a in range(int(offsets[i]), int(offsets[j]) - width + 1, SLICE):
-                yield i, j, a, min(int(offsets[j]), a + SLICE + width - 1), a - int(offsets[i])
+            for a in range(int(offsets[i]), int(offsets[j]) - width + 1, size):
+                yield i, j, a, min(int(offsets[j]), a + size + width - 1), a - int(offsets[i])
         i = j
 
 
@@ -256,10 +287,10 @@ def merged(ranges: np.ndarray) -> np.ndarray:
     return np.stack([r[first, 0], end[np.append(first[1:], len(r)) - 1]], 1)
 
 
-RUN = pa.struct([("a", pa.int64()), ("c", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("twice", pa.bool_())])
+RUN = pa.struct([("a", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("twice", pa.bool_())])
 
 
-def _cut(rows: DataFrame, width: int) -> DataFrame:
+def _cut(rows: DataFrame, width: int, anchor: Rolling, content: Rolling, slice_bytes: int) -> DataFrame:
     """uid, id, k1, k2, runs (contexts to be dealt) and spans that are repeated for sure, of every row."""
     def run(batches):
         part, seen = TaskContext.get().partitionId(), 0
@@ -267,32 +298,26 @@ def _cut(rows: DataFrame, width: int) -> DataFrame:
             data, offsets = text_bytes(b["text"])
             m = len(offsets) - 1
             runs: list[list[np.ndarray]] = []
-            spans: dict[int, list[np.ndarray]] = {}
-            for i, j, lo, hi, shift in _parts(data, offsets, width):
-                own = np.array([0, hi - lo]) if shift or hi - lo < offsets[j] - offsets[i] else offsets[i:j + 1] - lo
-                row, s, n, a, c = contexts(data[lo:hi], own, width)
+            spans: dict[int, list[tuple]] = {}
+            for i, j, lo, hi, shift in _parts(data, offsets, width, slice_bytes):
+                part_of_row = shift or hi - lo < offsets[j] - offsets[i]
+                own = np.array([0, hi - lo]) if part_of_row else offsets[i:j + 1] - lo
+                row, at, n, a = contexts(data[lo:hi], own, width, anchor=anchor)
                 if not len(row):
                     continue
-                row, s = row + i, s + shift
-                # equal contexts of this slice: the first is dealt, all are covered
-                order = np.lexsort((s, row, n, c, a))
-                new = np.append(True, (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1]) | (n[order][1:] != n[order][:-1]))
-                count = np.diff(np.append(np.flatnonzero(new), len(order)))
-                twice = np.empty(len(order), bool)
-                twice[order] = np.repeat(count > 1, count)
-                head = np.zeros(len(order), bool)
-                head[order[new]] = True
+                head, twice = folded(data[lo:hi], at, n, a, width, content)
+                row, s = row + i, at - own[row] + shift
                 for r, x, y in zip(row[twice].tolist(), s[twice].tolist(), (s + n)[twice].tolist()):
                     spans.setdefault(r, []).append((x, y + width - 1))
-                runs.append([x[head] for x in (row, s, n, a, c, twice)])
+                runs.append([x[head] for x in (row, s, n, a, twice)])
             if runs:
-                row, s, n, a, c, twice = map(np.concatenate, zip(*runs))
+                row, s, n, a, twice = map(np.concatenate, zip(*runs))
             else:
-                row = s = n = a = c = np.empty(0, np.int64)
+                row = s = n = a = np.empty(0, np.int64)
                 twice = np.empty(0, bool)
             order = np.argsort(row, kind="stable")
             bounds = np.searchsorted(row[order], np.arange(m + 1)).astype(np.int32)
-            values = pa.StructArray.from_arrays([pa.array(x[order], t.type) for x, t in zip((a, c, s, n, twice), RUN)], fields=list(RUN))
+            values = pa.StructArray.from_arrays([pa.array(x[order], t.type) for x, t in zip((a, s, n, twice), RUN)], fields=list(RUN))
             sure = [merged(np.array(spans[r])).tolist() if r in spans else [] for r in range(m)]
             sure = pa.array([[{"s": x, "e": y} for x, y in one] for one in sure], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))
             uid = np.arange(seen, seen + m) + (part << 40)
@@ -300,151 +325,157 @@ def _cut(rows: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(uid), b["id"], b["k1"], b["k2"], pa.ListArray.from_arrays(pa.array(bounds), values), sure], ["uid", "id", "k1", "k2", "runs", "sure"])
 
-    return rows.mapInArrow(tidy(run), "uid long, id long, k1 long, k2 long, runs array<struct<a:long,c:long,s:int,n:int,twice:boolean>>, sure array<struct<s:long,e:long>>")
+    return rows.mapInArrow(tidy(run), "uid long, id long, k1 long, k2 long, runs array<struct<a:long,s:int,n:int,twice:boolean>>, sure array<struct<s:long,e:long>>")
 
 
-def _meet(runs: DataFrame, width: int) -> DataFrame:
-    """By anchor: spans of contexts with equal bytes (ask false), and contexts that must be sorted (ask true)."""
-    names = ["ask", "uid", "a", "s", "n", "single", "many"]
+def _asked(cut: DataFrame, many: int) -> DataFrame:
+    """uid and the contexts of that text whose anchor stands elsewhere too."""
+    runs = cut.select("uid", F.inline("runs"))
+    counts = runs.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select("a", (F.col("m") > many).alias("many"))
+    return runs.join(counts, "a").groupBy("uid").agg(F.collect_list(F.struct("a", "s", "n", "twice", "many")).alias("asked"))
 
-    def run(batches):
-        def solve(cols):
-            a, c, n, uid, s, twice = cols
-            order = np.lexsort((s, uid, n, c, a))
-            a, c, n, uid, s, twice = (x[order] for x in (a, c, n, uid, s, twice))
-            new_a = np.append(True, a[1:] != a[:-1])
-            new = new_a.copy()
-            new[1:] |= (c[1:] != c[:-1]) | (n[1:] != n[:-1])
-            first = np.flatnonzero(new)
-            count = np.diff(np.append(first, len(a)))
-            again = np.repeat(count, count) > 1
-            cover = again & ~twice  # what was found twice in its slice is covered there
-            known = np.logical_or.reduceat(twice, first) | (count > 1)
-            which = np.cumsum(new_a)[first] - 1
-            kinds = np.bincount(which)
-            ask = kinds[which] > 1
-            q = first[ask]
-            for ask_, at, single, many in ((False, np.flatnonzero(cover), None, None), (True, q, ~known[ask], kinds[which][ask] > MANY)):
-                if len(at):
-                    no = np.zeros(len(at), bool)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), ask_)), pa.array(uid[at]), pa.array(a[at]), pa.array(s[at], pa.int32()), pa.array(n[at], pa.int32()),
-                         pa.array(no if single is None else single), pa.array(no if many is None else many)], names)
-
-        held, rows = [], 0
-        for b in batches:
-            if len(b):
-                held.append([b[x].to_numpy(zero_copy_only=False) for x in ("a", "c", "n", "uid", "s", "twice")])
-                rows += len(b)
-            if rows >= 100_000:
-                cols = list(map(np.concatenate, zip(*held)))
-                cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last anchor may go on
-                if cut:
-                    yield from solve([x[:cut] for x in cols])
-                held, rows = [[x[cut:] for x in cols]], len(cols[0]) - cut
-        if held and rows:
-            yield from solve(list(map(np.concatenate, zip(*held))))
-
-    dealt = runs.repartition("a").sortWithinPartitions("a")
-    return dealt.mapInArrow(tidy(run), "ask boolean, uid long, a long, s int, n int, single boolean, many boolean")
-
-
-def _bytes(texts: DataFrame, width: int) -> DataFrame:
-    """The bytes of the contexts asked for, by the key under which they are sorted."""
-    names = ["key", "uid", "s", "n", "single", "bytes"]
+
+def _bytes(texts: DataFrame, width: int, content: Rolling) -> DataFrame:
+    """The bytes of the contexts asked for, by the key under which they are sorted.
+
+    Equal ones of a task are folded: all but one become spans, rows without bytes.  known: the row's
+    own windows need no answer any more.
+    """
+    names = ["key", "uid", "s", "n", "known", "bytes"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
 
     def run(batches):
+        held: dict[tuple[int, bytes], list] = {}
+        sure: list[tuple] = []
+        size = 0
+
+        def add(key: int, uid: int, s: int, n: int, known: bool, raw: bytes):
+            nonlocal size
+            if (old := held.get((key, raw))) is None:
+                held[key, raw] = [uid, s, n, known]
+                size += len(raw) + 200
+                return
+            if not known:
+                sure.append((uid, uid, s, n, True, None))
+            if not old[3]:
+                old[3] = True
+                sure.append((old[0], *old[:3], True, None))
+
+        def flush():
+            nonlocal size
+            rows = [(key, *value, raw) for (key, raw), value in held.items()] + sure
+            held.clear(), sure.clear()
+            size = 0
+            for i in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 10_000]), kinds)], names)
+
         for b in batches:
             data, offsets = text_bytes(b["text"])
-            rows, held = [], 0
             for r, (uid, asked) in enumerate(zip(b["uid"].to_pylist(), b["asked"].to_pylist())):
                 own = data[offsets[r]:offsets[r + 1]]
                 for x in asked:
                     s, n, a = x["s"], x["n"], x["a"]
+                    raw = own[s:s + n + width - 1]
                     if not x["many"]:
-                        rows.append((a, uid, s, n, x["single"], own[s:s + n + width - 1].tobytes()))
-                        held += n + width
-                        continue
-                    part = own[s:s + n + width - 1]
-                    half = mix(_CONTENT.fixed(_CONTENT.prefix(part), width // 2)[:n] ^ np.uint64(a & (2**64 - 1)))
-                    for i, h in enumerate(half.view(np.int64).tolist()):
-                        rows.append((h, uid, s + i, 1, x["single"], part[i:i + width].tobytes()))
-                    held += n * width
-                    if held > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-                        rows, held = [], 0
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-
-    return texts.mapInArrow(tidy(run), "key long, uid long, s int, n int, single boolean, bytes binary")
+                        add(a, uid, s, n, x["twice"], raw.tobytes())
+                    else:
+                        whole = mix(content.fixed(content.prefix(raw), width)[:n] ^ np.uint64(a & (2**64 - 1)))
+                        for i, h in enumerate(whole.view(np.int64).tolist()):
+                            add(h, uid, s + i, 1, x["twice"], raw[i:i + width].tobytes())
+                    if size + 60 * len(sure) > 8 << 20:
+                        yield from flush()
+        yield from flush()
+
+    return texts.mapInArrow(tidy(run), "key long, uid long, s int, n int, known boolean, bytes binary")
+
+
+def sorted_spans(rows, width: int = WIDTH, array_bytes: int = ARRAY_BYTES):
+    """Spans (uid, s, e) of repeated windows, in lists, from rows (key, uid, s, n, known, bytes) that come key by key.
+
+    A row without bytes is a span already.
+    """
+    array: list[list] = []  # different contexts, of the keys that have several
+    size, key, own = 0, None, {}
+    out: list[tuple] = []
+
+    def solve():
+        hits = repeated_windows([x[4] for x in array], [x[2] for x in array], width)
+        for (uid, s, _, known, _), hit in zip(array, hits):
+            if not known and hit.any():
+                at = np.flatnonzero(hit)
+                out.extend((uid, s + x, s + y) for x, y in merged(np.stack([at, at + width], 1)).tolist())
+        array.clear()
+
+    for k, uid, s, n, known, raw in rows:
+        if raw is None:
+            out.append((uid, s, s + n + width - 1))
+        else:
+            if k != key:
+                if len(own) > 1:
+                    array += own.values()
+                    size += sum(map(len, own))
+                key, own = k, {}
+                if size >= array_bytes:
+                    solve()
+                    size = 0
+            if (old := own.get(raw)) is None:
+                own[raw] = [uid, s, n, known, raw]
+            else:  # the same bytes: both are repeated whole
+                if not known:
+                    out.append((uid, s, s + n + width - 1))
+                if not old[3]:
+                    old[3] = True
+                    out.append((old[0], old[1], old[1] + old[2] + width - 1))
+        if len(out) > 20_000:
+            yield out
+            out = []
+    if len(own) > 1:
+        array += own.values()
+    if array:
+        solve()
+    if out:
+        yield out
 
 
 def _sort(dealt: DataFrame, width: int) -> DataFrame:
-    """Spans (uid, s, e) of repeated windows of contexts that stand singly."""
     def run(batches):
-        def solve(rows):
-            rows = list({(uid, s): (uid, s, n, single, raw) for uid, s, n, single, raw in rows}.values())
-            hits = repeated_windows([x[4] for x in rows], [x[2] for x in rows], width)
-            out = []
-            for (uid, s, _, single, _), hit in zip(rows, hits):
-                if single and hit.any():
-                    at = np.flatnonzero(hit)
-                    for x, y in merged(np.stack([at, at + width], 1)).tolist():
-                        out.append((uid, s + x, s + y))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["uid", "s", "e"])
-
-        key, held, size = None, [], 0
-        for b in batches:
-            for k, uid, s, n, single, raw in zip(*(b[x].to_pylist() for x in ("key", "uid", "s", "n", "single", "bytes"))):
-                if k != key and size >= ARRAY_BYTES:
-                    yield from solve(held)
-                    held, size = [], 0
-                key = k
-                held.append((uid, s, n, single, raw))
-                size += len(raw)
-        if held:
-            yield from solve(held)
+        rows = (r for b in batches for r in zip(*(b[x].to_pylist() for x in ("key", "uid", "s", "n", "known", "bytes"))))
+        for spans in sorted_spans(rows, width):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*spans)], ["uid", "s", "e"])
 
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "uid long, s long, e long")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
+                   many: int = MANY, anchor: Rolling = _ANCHOR, content: Rolling = _CONTENT, slice_bytes: int = SLICE) -> DataFrame:
     """docs, all columns, with n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
 
     kept_text is the remaining bytes as text; halves of characters that a span's border cut are left out.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"_cr_id": F.col(id_col).cast("long"), "_cr_k1": F.xxhash64(text), "_cr_k2": F.xxhash64(text, F.lit(1))})
-    rows = keyed.select(F.col("_cr_id").alias("id"), F.col("_cr_k1").alias("k1"), F.col("_cr_k2").alias("k2"), text.alias("text"))
-    cut = written(_cut(rows, width), "contexts")
-    runs = cut.select("uid", F.inline("runs")).select("a", "c", "n", "uid", "s", "twice")
-    met = written(_meet(runs, width), "met", "ask")
-    own = cut.select("uid", "id", "k1", "k2")
-    asked = met.where("ask").groupBy("uid").agg(F.collect_list(F.struct("a", "s", "n", "single", "many")).alias("asked")).join(own, "uid")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), text.alias("text"))
+    cut = written(_cut(rows, width, anchor, content, slice_bytes), "contexts")
+    asked = written(_asked(cut, many), "asked").join(cut.select("uid", "id", "k1", "k2"), "uid")
     same = lambda x, y: x["id"].eqNullSafe(y["id"]) & (x["k1"] == y["k1"]) & (x["k2"] == y["k2"])
     # written, so that what was shuffled for the sort is gone before texts are dealt for the result
-    sorted_ = written(_sort(_bytes(rows.join(asked, same(rows, asked)).select(asked["uid"], "asked", rows["text"]), width), width), "sorted")
-    spans = met.where("not ask").select("uid", F.col("s").cast("long").alias("s"), (F.col("s") + F.col("n") + (width - 1)).cast("long").alias("e"))
-    spans = spans.unionByName(sorted_).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("more"))
+    spans = written(_sort(_bytes(rows.join(asked, same(rows, asked)).select(asked["uid"], "asked", rows["text"]), width, content), width), "sorted")
+    spans = spans.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("more"))
     # rows that share id and content have equal sets of spans
     found = cut.select("uid", "id", "k1", "k2", "sure").join(spans, "uid", "left").where("size(sure) > 0 or more is not null")
-    found = found.groupBy("id", "k1", "k2").agg(F.flatten(F.collect_set(F.concat("sure", F.coalesce("more", F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)"))))).alias("_cr_spans"))
-    joined = keyed.join(found, keyed["_cr_id"].eqNullSafe(found["id"]) & (keyed["_cr_k1"] == found["k1"]) & (keyed["_cr_k2"] == found["k2"]), "left")
-    joined = joined.select(*[keyed[c] for c in docs.columns], F.col("_cr_spans"))
+    found = found.groupBy("id", "k1", "k2").agg(F.flatten(F.collect_set(F.concat("sure", F.coalesce("more", F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)"))))).alias("spans"))
     extra = {"n_bytes": LongType(), "n_removed": LongType(), "n_spans": LongType(), "kept_sha256": StringType(), "kept_text": StringType()}
-    kept_columns = [c for c in docs.columns if c not in extra]
-    schema = StructType([*(docs.schema[c] for c in kept_columns), *(StructField(c, t) for c, t in extra.items())])
+    others = [c for c in docs.columns if c != text_col and c not in extra]
+    whole = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"),
+        F.col(f"`{text_col}`").alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("others"))
+    joined = whole.join(found, same(whole, found), "left").select(whole["text"], whole["others"], found["spans"])
+    schema = StructType([joined.schema["text"], joined.schema["others"], *(StructField(c, t) for c, t in extra.items())])
 
     def run(batches):
         for b in batches:
-            data, offsets = text_bytes(b[text_col])
+            data, offsets = text_bytes(b["text"])
             out: list[list] = [[], [], [], [], []]
-            for r, spans in enumerate(b["_cr_spans"].to_pylist()):
+            for r, spans in enumerate(b["spans"].to_pylist()):
                 raw = data[offsets[r]:offsets[r + 1]]
                 gone = merged(np.array([(x["s"], x["e"]) for x in spans or ()], np.int64).reshape(-1, 2))
                 keep = raw.tobytes()
@@ -454,9 +485,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for column, value in zip(out, (len(raw), len(raw) - len(keep), len(gone), hashlib.sha256(keep).hexdigest(), keep.decode("utf-8", "ignore"))):
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept_columns), *(pa.array(x, k) for x, k in zip(out, kinds))], [*kept_columns, *extra])
+            yield pa.RecordBatch.from_arrays([b["text"], b["others"], *(pa.array(x, k) for x, k in zip(out, kinds))], ["text", "others", *extra])
 
-    return joined.mapInArrow(tidy(run), schema)
+    place = {c: f"others.c{i}" for i, c in enumerate(others)} | {text_col: "text"}
+    return joined.mapInArrow(tidy(run), schema).select(*(F.col(place[c]).alias(c) for c in docs.columns if c not in extra), *extra)
 
 
 def op3_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
