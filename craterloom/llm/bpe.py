@@ -1,16 +1,21 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer, and an incremental decoder.
 
-Encoding.  A pre-token's bytes are read block by block.  The merge list fixes a *sufficient
-lookahead*: a number of bytes L such that tokens which end L bytes or more before the end of what
+Encoding.  Text comes in blocks.  :class:`Encoder` cuts it into pre-tokens, holding back only the few
+characters that later text can still regroup, and hands a pre-token's bytes to a :class:`Transducer`
+as they come, also of a pre-token that has not ended.  The merge list fixes a *sufficient lookahead*:
+a number of bytes L such that tokens which end L bytes or more before the end of what
 has been read can't change with what follows (see :func:`sufficient_lookahead`).  Such tokens are
 emitted, and the rest of the buffer is tokenized anew with the next block, as the BPE tokens of a
 text from a token border on are the BPE tokens of that rest.  The buffer never holds more than
-BLOCK + L bytes plus one token, so a pre-token of any length needs constant memory.
+BLOCK + L bytes plus one token, so a text of any length, and a pre-token of any length, needs constant
+memory.  No other code of this module makes ids.
 
 Decoding.  Token bytes run through a UTF-8 state machine that holds back an incomplete last
 character (three bytes at most) until the next token; bytes that can't be a character become U+FFFD.
 
-Texts are cut into chunks first (see chunks.py), and a chunk's ids and texts are cached per worker.
+Short texts are cut into chunks first (see chunks.py), at places where the encoder holds nothing back, and a
+chunk's ids are cached per worker; texts over TOKEN_SLICE_BYTES are streamed in blocks of STEP
+bytes.  Either way ids and decoded text go into running digests.
 
 Defined results
 ---------------
@@ -21,6 +26,7 @@ Defined results
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import json
@@ -35,7 +41,9 @@ from pyspark.sql import functions as F
 from craterloom.llm.chunks import ChunkCache, in_order, ragged, tokenizer_path
 from craterloom.llm.core import CACHES, TOKEN_SLICE_BYTES, slices, text_bytes, tidy
 
-BLOCK = 1024
+BLOCK, STEP = 1024, 1 << 16
+#: Characters of one unfinished pre-token that are held before they are handed on.
+HOLD = 2048
 #: Fixed value: the published pre-tokenizer pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -134,28 +142,16 @@ class Bpe:
 
     def stream(self, blocks: Iterable[bytes]) -> Iterator[int]:
         """Ids of one pre-token that comes in blocks: each is emitted once it is stable."""
-        buffer = b""
+        machine = Transducer(self)
         for block in blocks:
-            buffer += block
-            if len(buffer) <= self.lookahead:
-                continue
-            at = 0
-            for t in self.merged(buffer):
-                end = at + len(self.bytes_of[t])
-                if end + self.lookahead > len(buffer):
-                    break
-                yield t
-                at = end
-            buffer = buffer[at:]
-        yield from self.merged(buffer)
+            yield from machine.push(block)
+        yield from machine.end()
 
     def pretoken(self, text: str) -> list[int]:
         ids = self.seen.get(text)
         if ids is None:
             raw = text.encode("utf-8")
-            if len(raw) > BLOCK + self.lookahead:
-                return list(self.stream(raw[i:i + BLOCK] for i in range(0, len(raw), BLOCK)))
-            ids = self.merged(raw)
+            ids = list(self.stream([raw]))
             if len(raw) <= 32:
                 if len(self.seen) >= 200_000:
                     self.seen.clear()
@@ -163,16 +159,8 @@ class Bpe:
         return ids
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        at = 0
-        for m in self.marks.finditer(text) if self.marks else ():
-            for p in self.pattern.findall(text[at:m.start()]):
-                out += self.pretoken(p)
-            out.append(self.special[m[0]])
-            at = m.end()
-        for p in self.pattern.findall(text[at:] if at else text):
-            out += self.pretoken(p)
-        return out
+        encoder = Encoder(self)
+        return encoder.feed(text) + encoder.close()
 
     def encode_many(self, texts: list[str]):
         return in_order(list(map(self.encode, texts)))
@@ -182,6 +170,97 @@ class Bpe:
         return "".join(machine.feed(self.bytes_of[int(i)]) for i in ids) + machine.close()
 
 
+class Transducer:
+    """Bytes of one pre-token in, stable ids out; state: the bytes whose tokens later bytes may change."""
+
+    def __init__(self, bpe: Bpe):
+        self.bpe, self.buffer = bpe, b""
+
+    def push(self, raw: bytes) -> list[int]:
+        bpe, out = self.bpe, []
+        for i in range(0, len(raw), BLOCK):
+            self.buffer += raw[i:i + BLOCK]
+            if len(self.buffer) <= bpe.lookahead:
+                continue
+            at = 0
+            for t in bpe.merged(self.buffer):
+                end = at + len(bpe.bytes_of[t])
+                if end + bpe.lookahead > len(self.buffer):
+                    break
+                out.append(t)
+                at = end
+            self.buffer = self.buffer[at:]
+        return out
+
+    def end(self) -> list[int]:
+        rest, self.buffer = self.buffer, b""
+        return self.bpe.merged(rest)
+
+
+class Encoder:
+    """Text in, ids out, block by block; state: the beginning of a special token, of a pre-token, and a transducer.
+
+    A pre-token is certain once two characters stand behind it (an apostrophe's group needs to see two
+    more).  One that grows beyond HOLD characters is a run of one kind, and all but its last characters go on to
+    the transducer; the kind then tells how far it goes on.
+    """
+
+    #: How a run of each kind goes on.
+    GOES_ON = {kind: regex.compile(rf"{kind}*") for kind in (r"\p{L}", r"\p{N}", r"\s", r"[^\s\p{L}\p{N}]")}
+    AHEAD, BACK = 2, 4
+
+    def __init__(self, bpe: Bpe):
+        self.bpe, self.mark, self.rest, self.open, self.machine = bpe, "", "", None, Transducer(bpe)
+
+    def feed(self, text: str) -> list[int]:
+        out: list[int] = []
+        if self.bpe.marks:
+            text = self.mark + text
+            while m := self.bpe.marks.search(text):
+                out += self._cut(text[:m.start()], True)
+                out.append(self.bpe.special[m[0]])
+                text = text[m.end():]
+            begun = max((k for s in self.bpe.special for k in range(1, min(len(s), len(text) + 1)) if text.endswith(s[:k])), default=0)
+            text, self.mark = text[:len(text) - begun], text[len(text) - begun:]
+        return out + self._cut(text, False)
+
+    def close(self) -> list[int]:
+        last, self.mark = self.mark, ""
+        return self._cut(last, True)
+
+    def _cut(self, text: str, last: bool) -> list[int]:
+        """Ids that text makes certain; last: nothing of this stretch follows."""
+        text, self.rest = self.rest + text, ""
+        out: list[int] = []
+        at, sure = 0, len(text) if last else len(text) - self.AHEAD
+        if self.open:
+            at = self.open.match(text).end()
+            if at > sure:
+                return self._hand_on(text)
+            if self.open is self.GOES_ON[r"\s"] and at < len(text):
+                at -= 1  # a run's last blank goes with what follows
+            out += self.machine.push(text[:at].encode("utf-8")) + self.machine.end()
+            self.open = None
+        for m in self.bpe.pattern.finditer(text, at):
+            if m.end() > sure:
+                break
+            out += self.bpe.pretoken(m[0])
+            at = m.end()
+        text = text[at:]
+        if len(text) > HOLD:
+            begin = text[1] if text[0] == " " and not self.GOES_ON[r"\s"].match(text[1]).end() else text[0]
+            self.open = next(k for k in self.GOES_ON.values() if k.match(begin).end())
+            return out + self._hand_on(text)
+        self.rest = text
+        return out
+
+    def _hand_on(self, text: str) -> list[int]:
+        """All but the last characters of an open run to the transducer."""
+        cut = max(0, len(text) - self.BACK)
+        self.rest = text[cut:]
+        return self.machine.push(text[:cut].encode("utf-8"))
+
+
 class Utf8Machine:
     """Bytes in, text out; state: the bytes of a character that has begun and not ended."""
 
@@ -242,7 +321,48 @@ def _worker(path: str) -> _Worker:
     return _WORKERS[path]
 
 
-def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+class _Digests:
+    """Running digests of a text's ids and of what they decode to; with keep, both themselves too."""
+
+    def __init__(self, worker: _Worker, keep: bool):
+        self.worker, self.keep = worker, keep
+        self.n, self.ids_sha, self.text_sha, self.machine = 0, hashlib.sha256(), hashlib.sha256(), Utf8Machine()
+        self.ids: list[int] = []
+        self.texts: list[str] = []
+
+    def add(self, n: int, decimal: bytes, raw: bytes) -> None:
+        """n ids, given in decimal with a comma behind each, and their bytes."""
+        if n:
+            self.ids_sha.update((b"," if self.n else b"") + bytes(decimal[:-1]))
+            self.n += n
+            self._text(self.machine.feed(bytes(raw)))
+
+    def ids_of(self, ids: list[int]) -> None:
+        w = self.worker
+        self.add(len(ids), b"".join([b"%d," % i for i in ids]), b"".join([w.bpe.bytes_of[i] for i in ids]))
+        if self.keep:
+            self.ids += ids
+
+    def _text(self, text: str) -> None:
+        self.text_sha.update(text.encode("utf-8"))
+        if self.keep:
+            self.texts.append(text)
+
+    def done(self) -> list:
+        self._text(self.machine.close())
+        return [self.n, self.ids_sha.hexdigest(), self.text_sha.hexdigest()] + [self.ids, "".join(self.texts)] * self.keep
+
+
+def _streamed(worker: _Worker, raw: np.ndarray, keep: bool) -> list:
+    """A long text's results: blocks of STEP bytes through the encoder and the decoder."""
+    out, encoder, chars = _Digests(worker, keep), Encoder(worker.bpe), codecs.getincrementaldecoder("utf-8")()
+    for i in range(0, len(raw), STEP):
+        out.ids_of(encoder.feed(chars.decode(raw[i:i + STEP].tobytes())))
+    out.ids_of(encoder.close())
+    return out.done()
+
+
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, slice_bytes: int = TOKEN_SLICE_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with keep, ids and decoded themselves."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32()), pa.string()] * keep
@@ -252,30 +372,23 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         for b in batches:
             doc_ids = b["id"].to_pylist()
             data, offsets = text_bytes(b["text"])
-            for i, j in slices(offsets, TOKEN_SLICE_BYTES):
-                ids, at = w.cache.rows(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-                size, shown = w.length[ids], w.digit_length[ids]
-                raw = w.pool[ragged(w.start[ids], size)] if len(ids) else w.pool[:0]
-                decimal = w.digits[ragged(w.digit_start[ids], shown)] if len(ids) else w.digits[:0]
-                raw_at = np.concatenate([[0], np.cumsum(size)])[at].tolist()
-                decimal_at = np.concatenate([[0], np.cumsum(shown)])[at].tolist()
-                raw, decimal = memoryview(raw), memoryview(decimal)
-                columns: list[list] = [doc_ids[i:j], np.diff(at).tolist(), [], []] + [[], []] * keep
-                for k in range(j - i):
-                    machine, sha, text = Utf8Machine(), hashlib.sha256(), []
-                    for a in range(raw_at[k], raw_at[k + 1], 1 << 16):
-                        text.append(machine.feed(bytes(raw[a:min(raw_at[k + 1], a + (1 << 16))])))
-                        sha.update(text[-1].encode("utf-8"))
-                        if not keep:
-                            text.clear()
-                    text.append(machine.close())
-                    sha.update(text[-1].encode("utf-8"))
-                    columns[2].append(hashlib.sha256(decimal[decimal_at[k]:max(decimal_at[k], decimal_at[k + 1] - 1)]).hexdigest())
-                    columns[3].append(sha.hexdigest())
-                    if keep:
-                        columns[4].append(ids[at[k]:at[k + 1]])
-                        columns[5].append("".join(text))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+            for i, j in slices(offsets, slice_bytes):
+                part = data[offsets[i]:offsets[j]]
+                if len(part) > slice_bytes:
+                    rows = [_streamed(w, part, keep)]
+                else:
+                    ids, at = w.cache.rows(part, offsets[i:j + 1] - offsets[i])
+                    size, shown = w.length[ids], w.digit_length[ids]
+                    raw = w.pool[ragged(w.start[ids], size)] if len(ids) else w.pool[:0]
+                    decimal = w.digits[ragged(w.digit_start[ids], shown)] if len(ids) else w.digits[:0]
+                    raw_at, decimal_at = (np.concatenate([[0], np.cumsum(x)])[at].tolist() for x in (size, shown))
+                    raw, decimal, rows = memoryview(raw), memoryview(decimal), []
+                    for k in range(j - i):
+                        out = _Digests(w, keep)
+                        out.add(int(at[k + 1] - at[k]), decimal[decimal_at[k]:decimal_at[k + 1]], raw[raw_at[k]:raw_at[k + 1]])
+                        out.ids = ids[at[k]:at[k + 1]]
+                        rows.append(out.done())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([doc_ids[i:j], *zip(*rows)], kinds)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
