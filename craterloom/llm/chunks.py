@@ -72,7 +72,7 @@ class ChunkCache:
     def __init__(self, encode: Callable[[list[str]], tuple[list[int], np.ndarray, np.ndarray]], uncased: bool = False):
         """uncased: the tokenizer drops white space and lower-cases, so chunks may be folded before they are looked up."""
         self.encode, self.uncased = encode, uncased
-        self.limit = CACHE_CHUNKS
+        self.limit, self.top = CACHE_CHUNKS, 0  # top: the largest id
         self.reset()
 
     def reset(self) -> None:
@@ -198,6 +198,7 @@ def library_cache(path: str, limit: int = CACHE_CHUNKS) -> ChunkCache:
         uncased = any(n["type"] == "Lowercase" for n in steps.get("normalizers", [steps]) if n) and '"behavior":"Removed"' in json.dumps(spec["pre_tokenizer"], separators=(",", ":"))
         suffix = spec["model"].get("end_of_word_suffix")
         _LIBRARY[path] = ChunkCache(_WordEnds(tokenizer, suffix) if uncased and suffix else lambda chunks: plain(tokenizer, chunks), uncased)
+        _LIBRARY[path].top = max(tokenizer.get_vocab(with_added_tokens=True).values())
         CACHES[path] = _LIBRARY[path].reset
     _LIBRARY[path].limit = limit
     return _LIBRARY[path]

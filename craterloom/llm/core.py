@@ -39,16 +39,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, *partition_by: str, release: bool = True) -> DataFrame:
+def written(df: DataFrame, name: str, release: bool = True, **options) -> DataFrame:
     """The rows of df, written once to the shared folder and read back: cuts lineage and survives lost executors.
 
     The files go when the session's file system closes.  With release, Spark's cleaner is led to drop
-    at once the shuffle files of what is no longer referred to.
+    at once the shuffle files of what is no longer referred to.  options: of Spark's Parquet writer.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    df.write.options(**options).parquet(path)
     forget_on_exit(spark, path)
     if release:
         gc.collect()
