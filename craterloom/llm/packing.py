@@ -1,8 +1,8 @@
 """Best-two-fit packing of tokenized documents into sequences of a fixed length.
 
 Documents are tokenized where they lie and cut into pieces of the sequence length only where longer.
-Pieces (without their ids, unless asked for) are then dealt into packing tasks of up to PACK_PIECES
-pieces each.  A task fills one bin at a time, largest fitting piece first; when nothing fits any
+Pieces' lengths, never their ids, are then dealt into packing tasks of up to PACK_PIECES
+pieces each; ids that were asked for are joined to their places afterwards.  A task fills one bin at a time, largest fitting piece first; when nothing fits any
 more, the bin's smallest piece makes way for the two unpacked pieces that together fit its expanded
 gap most tightly, if they fit it more tightly than it did.  Each task leaves at most a few loose bins.
 
@@ -119,27 +119,33 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
 
 
 def pack(table: DataFrame, length: int = LENGTH, pack_pieces: int = PACK_PIECES) -> DataFrame:
-    """A written table of pieces with sequence_id and offset; every column of it stays."""
-    schema = table.schema.simpleString()[len("struct<"):-1]
-    names = table.columns
+    """A written table of pieces, each with its own piece_key: every other column of it, sequence_id and offset."""
+    light = ["piece_key", "length", "doc_id", "piece", "ids_crc32"]
 
     def run(batches):
         held = [b for b in batches if len(b)]
         if not held:
             return
-        rows = pa.Table.from_batches(held).drop_columns(["_deal"]).sort_by([("length", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        rows = pa.Table.from_batches(held).sort_by([("length", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         bins, offsets = best_two_fit(rows["length"].to_numpy(), length)
-        rows = rows.append_column("sequence_id", pa.array(bins + (TaskContext.get().partitionId() << 40))).append_column("offset", pa.array(offsets))
+        rows = pa.table({"key": rows["piece_key"], "sequence_id": pa.array(bins + (TaskContext.get().partitionId() << 40)), "offset": pa.array(offsets)} | {c: rows[c] for c in carried})
         yield from rows.to_batches(20_000)
 
+    # what is small goes along; ids stay where they are until their places are known
+    heavy = [c for c in table.columns if c not in light and c not in ("start",)]
+    carried = [] if heavy else [c for c in table.columns if c != "piece_key"]
     # dealt by a number, not by a column that may be the same in a third of all rows
     tasks = max(1, -(-table.count() // pack_pieces))
-    dealt = table.select(*names, F.monotonically_increasing_id().alias("_deal")).repartition(tasks, "_deal")
-    return dealt.mapInArrow(tidy(run), f"{schema}, sequence_id bigint, offset bigint")
+    kinds = "".join(f", {c} {table.schema[c].dataType.simpleString()}" for c in carried)
+    placed = table.select(*light, *([] if heavy else ["start"])).repartition(tasks, "piece_key").mapInArrow(tidy(run), f"key long, sequence_id long, offset long{kinds}")
+    if heavy:
+        placed = table.join(placed, F.col("piece_key") == F.col("key"))
+    return placed.select(*(c for c in table.columns if c != "piece_key"), "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
-    return pack(written(pieces(docs, tokenizer, end_id, id_col, text_col, length, keep_ids), "pieces"), length)
+    table = pieces(docs, tokenizer, end_id, id_col, text_col, length, keep_ids).withColumn("piece_key", F.monotonically_increasing_id())
+    return pack(written(table, "pieces"), length)
 
 
 def op7_best_two_fit(spark, sf_dir: str) -> DataFrame:
