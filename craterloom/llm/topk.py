@@ -1,13 +1,16 @@
 """Exact top-k inner-product search: one ball tree per shard, best-first branch and bound.
 
-A shard is a partition of the vectors.  Its tree is built where it lies.  For a block of queries the
-inner-product bound of every node (centre product plus query norm times radius) comes from one
-matrix product; each query then opens nodes in the order of their bounds and stops at the first that
-can't reach its kth score.  That score is shared: it starts from a bounded sample of all shards,
-scored once for the block, and rises as leaves are scored.  The shards' lists (k rows at most for a
-query and shard) meet in one ranking.
+A shard is up to SHARD_ROWS vectors of one input partition.  Its tree is built once, where the vectors
+lie, and written to the shared folder.  Queries are packed into blocks of about QUERY_BLOCK; blocks and
+trees are dealt by shard, so that a task reads a tree and then streams the blocks past it.  The plan
+does not grow with the number of shards or blocks.
 
-Queries are dealt into blocks of about QUERY_BLOCK rows, which is what is broadcast at a time.
+For a block the inner-product bound of every node (centre product plus query norm times radius) comes
+from one matrix product; each query then opens nodes in the order of their bounds and stops at the
+first that can't reach its kth score.  The current kth score is shared: it starts from a bounded
+sample of all shards, rises as leaves are scored, and after a first wave, one shard in FIRST_WAVE, the
+kth best of all that these found goes with the queries to all other shards.  The shards' lists (k rows
+at most for a query and shard) meet in one ranking.
 
 Defined results
 ---------------
@@ -22,16 +25,24 @@ Defined results
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 8192
+from craterloom.llm.core import tidy, written
+
+QUERY_BLOCK, SHARD_ROWS = 8192, 1 << 16
 LEAF = 96
 #: Rows, about, of the sample from which each query's kth score starts; each row has the same chance.
 SAMPLE = 4096
+#: One shard in so many is searched first; with fewer shards there is one wave.
+FIRST_WAVE = 8
+#: Shards whose numbers (16 bytes each) may be broadcast to the query blocks.
+FEW_SHARDS = 100_000
 
 
 class BallTree:
@@ -70,54 +81,60 @@ class BallTree:
         self.first, self.last, self.left = first, last, left
 
 
-def _exact(x: np.ndarray) -> np.ndarray:
-    """Rows as doubles where all inner products are exact that way, else as 64-bit integers."""
-    big = float(np.abs(x).max(initial=0))
-    return x.astype(np.float64) if big * big * x.shape[1] < 2**52 else x
-
-
-def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, leaf: int = LEAF):
-    """For each query its rows (score, id) among x that can be in its k best; floor: a score that k rows reach."""
-    tree = BallTree(x.astype(np.float64), leaf)
-    rows, own = _exact(x)[tree.order], ids[tree.order]
-    qx = q.astype(rows.dtype) if rows.dtype != np.float64 else _exact(q)
-    if qx.dtype != rows.dtype or float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] >= 2**52:
-        rows, qx = x[tree.order].astype(np.int64), q.astype(np.int64)
-    qf = q.astype(np.float64)
-    norm = np.sqrt((qf**2).sum(1))
-    for lo in range(0, len(q), 512):
-        bound = qf[lo:lo + 512] @ tree.centre.T + norm[lo:lo + 512, None] * tree.radius
-        bound += 1e-9 * np.abs(bound) + 0.5  # rounding
-        for i in range(len(bound)):
-            ub, at, least = bound[i], qx[lo + i], floor[lo + i]
-            mine = query_ids[lo + i]
-            scores, found = [], []
-            heap = [(-ub[0], 0)]
-            while heap and -heap[0][0] >= least:
-                n = heapq.heappop(heap)[1]
-                if (child := tree.left[n]) >= 0:
-                    for c in (child, child + 1):
-                        if ub[c] >= least:
-                            heapq.heappush(heap, (-ub[c], c))
-                    continue
-                a, b = tree.first[n], tree.last[n]
-                s = rows[a:b] @ at
-                keep = np.flatnonzero((s >= least) & (own[a:b] != mine))
-                if len(keep):
-                    scores.append(s[keep])
-                    found.append(own[a:b][keep])
-                    if sum(map(len, scores)) > 4 * k:
-                        scores, found = _best(scores, found, k)
-                        least = max(least, scores[0][-1])
-            if scores:
-                scores, found = _best(scores, found, k)
-                yield mine, scores[0], found[0]
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in as few bytes as hold them."""
+    low, high = int(x.min(initial=0)), int(x.max(initial=0))
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+class Shard:
+    """A ball tree with its vectors and ids in the tree's order."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF):
+        self.tree = BallTree(x.astype(np.float64), leaf)
+        self.ids, self.x = ids[self.tree.order], _small(x[self.tree.order])
+        del self.tree.order
+
+    def search(self, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int):
+        """For each query its rows (id, score, row id) that can be in its k best; floor: a score that k rows reach."""
+        tree, ids = self.tree, self.ids
+        # doubles where all inner products are exact that way, else 64-bit integers
+        exact = np.float64 if float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(self.x.astype(np.float64)).max(initial=0)) * self.x.shape[1] < 2**52 else np.int64
+        rows, qx, qf = self.x.astype(exact), q.astype(exact), q.astype(np.float64)
+        norm = np.sqrt((qf**2).sum(1))
+        for lo in range(0, len(q), 512):
+            bound = qf[lo:lo + 512] @ tree.centre.T + norm[lo:lo + 512, None] * tree.radius
+            bound += 1e-9 * np.abs(bound) + 0.5  # rounding
+            for i in range(len(bound)):
+                ub, at, least = bound[i], qx[lo + i], floor[lo + i]
+                mine = query_ids[lo + i]
+                scores, found = [], []
+                heap = [(-ub[0], 0)]
+                while heap and -heap[0][0] >= least:
+                    n = heapq.heappop(heap)[1]
+                    if (child := tree.left[n]) >= 0:
+                        for c in (child, child + 1):
+                            if ub[c] >= least:
+                                heapq.heappush(heap, (-ub[c], c))
+                        continue
+                    a, b = tree.first[n], tree.last[n]
+                    s = rows[a:b] @ at
+                    keep = np.flatnonzero((s >= least) & (ids[a:b] != mine))
+                    if len(keep):
+                        scores.append(s[keep])
+                        found.append(ids[a:b][keep])
+                        if sum(map(len, scores)) > 4 * k:
+                            scores, found = _best(scores, found, k)
+                            least = max(least, scores[0][-1])
+                if scores:
+                    scores, found = _best(scores, found, k)
+                    yield mine, scores[0], found[0]
 
 
 def _best(scores: list, found: list, k: int):
     s, v = np.concatenate(scores), np.concatenate(found)
     order = np.lexsort((v, -s))[:k]
-    return ([s[order]], [v[order]]) if len(order) == k else ([s[order]], [v[order]])
+    return [s[order]], [v[order]]
 
 
 def _vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -128,56 +145,114 @@ def _vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFra
         F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
+def _by_length(batch: pa.RecordBatch):
+    """Rows of a batch (id, v) by the length of their vectors: length, the rows' places, ids and a matrix."""
+    v = batch["v"]
+    lengths = np.diff(v.offsets.to_numpy())
+    flat, ids, first = v.values.to_numpy(zero_copy_only=False), batch["id"].to_numpy(zero_copy_only=False), v.offsets.to_numpy()
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        yield n, at, ids[at], flat[(first[:-1][at][:, None] + np.arange(n))]
+
+
+def _shards(rows: DataFrame, leaf: int, shard_rows: int) -> DataFrame:
+    """shard, length, payload: the trees of each partition's vectors."""
+    def run(batches):
+        part, made = TaskContext.get().partitionId(), 0
+        held: dict[int, list] = {}
+
+        def tree(n: int) -> pa.RecordBatch:
+            nonlocal made
+            ids, x = (np.concatenate(c) for c in zip(*held.pop(n)))
+            made += 1
+            payload = pickle.dumps(Shard(ids, x, leaf), 5)
+            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + made - 1], pa.int64()), pa.array([n], pa.int32()), pa.array([payload], pa.binary())], ["shard", "length", "payload"])
+
+        for b in batches:
+            for n, _, ids, x in _by_length(b):
+                held.setdefault(n, []).append((ids, _small(x)))
+                if sum(len(i) for i, _ in held[n]) >= shard_rows:
+                    yield tree(n)
+        for n in list(held):
+            yield tree(n)
+
+    return rows.mapInArrow(tidy(run), "shard long, length int, payload binary")
+
+
+def _blocks(asked: DataFrame, blocks: int, k: int, sample) -> DataFrame:
+    """block, length, payload: queries with the score that their kth best has at least."""
+    def run(batches):
+        part, made = TaskContext.get().partitionId(), 0
+        for b in batches:
+            floors = b["floor"].to_numpy(zero_copy_only=False)  # null: NaN
+            for n, at, ids, q in _by_length(b):
+                floor = np.where(np.isnan(floors[at].astype(np.float64)), -np.inf, floors[at].astype(np.float64))
+                near = sample.value.get(n)
+                if near is not None and len(near[0]) > k:
+                    for lo in range(0, len(q), 512):
+                        s = (q[lo:lo + 512] @ near[1].T).astype(np.float64)
+                        s[ids[lo:lo + 512, None] == near[0]] = -np.inf
+                        floor[lo:lo + 512] = np.maximum(floor[lo:lo + 512], np.partition(s, -k, axis=1)[:, -k])
+                made += 1
+                payload = pickle.dumps((ids, _small(q), floor), 5)
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 24) + made], pa.int64()), pa.array([n], pa.int32()), pa.array([payload], pa.binary())], ["block", "length", "payload"])
+
+    return asked.repartition(blocks, "id").mapInArrow(tidy(run), "block long, length int, payload binary")
+
+
+def _searched(shards: DataFrame, blocks: DataFrame, few: bool, k: int) -> DataFrame:
+    """query_id, vec_id, score: what the shards found for the blocks.  A shard's tree comes before its blocks."""
+    def run(batches):
+        shard, lists = None, []
+
+        def batch():
+            out = [np.concatenate(c) for c in zip(*lists)]
+            lists.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
+
+        for b in batches:
+            for seq, payload in zip(b["seq"].to_pylist(), b["payload"]):
+                if seq < 0:
+                    shard = pickle.loads(payload.as_py())
+                    continue
+                for mine, s, v in shard.search(*pickle.loads(payload.as_py()), k):
+                    lists.append((np.full(len(s), mine), v, s.astype(np.int64)))
+                    if len(lists) == 500:
+                        yield batch()
+        if lists:
+            yield batch()
+
+    numbers = shards.select("shard", "length")
+    asked = blocks.join(F.broadcast(numbers) if few else numbers, "length").select("shard", F.col("block").alias("seq"), "payload")
+    stream = shards.select("shard", F.lit(-1).cast("long").alias("seq"), "payload").unionByName(asked)
+    return stream.repartition("shard").sortWithinPartitions("shard", "seq").mapInArrow(tidy(run), "query_id long, vec_id long, score long")
+
+
 def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64,
-          query_block: int = QUERY_BLOCK, leaf: int = LEAF) -> DataFrame:
+          query_block: int = QUERY_BLOCK, leaf: int = LEAF, shard_rows: int = SHARD_ROWS, first_wave: int = FIRST_WAVE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows for each query row of df."""
     spark = df.sparkSession
     rows = _vectors(df, id_col, vector_col, scale)
-    asked = _vectors(df.where(is_query), id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-asked.count() // query_block))
-    share = min(1.0, SAMPLE / max(1, df.count()))
-    sample = rows.sample(share, seed=7).toPandas()
-    out = None
-    for block in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toPandas()
-        found = _one_block(spark, rows, mine, sample, k, leaf)
-        out = found if out is None else out.unionByName(found)
+    asked = written(_vectors(df.where(is_query), id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    shards = written(_shards(rows, leaf, shard_rows), "trees")
+    n, n_shards = asked.count(), shards.count()
+    drawn = rows.sample(min(1.0, SAMPLE / max(1, df.count())), seed=7).toArrow().combine_chunks().to_batches()
+    near = spark.sparkContext.broadcast({length: (ids, x) for b in drawn for length, _, ids, x in _by_length(b)})
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _one_block(spark, rows: DataFrame, mine: pd.DataFrame, sample: pd.DataFrame, k: int, leaf: int) -> DataFrame:
-    by_length = {}
-    for n, group in mine.groupby(mine.v.map(len)) if len(mine) else []:
-        q, ids = np.array(group.v.tolist(), np.int64), group.id.to_numpy(np.int64)
-        floor = np.full(len(q), -np.inf)
-        near = sample[sample.v.map(len) == n]
-        if len(near) > k:
-            s = q @ np.array(near.v.tolist(), np.int64).T
-            s = np.where(ids[:, None] == near.id.to_numpy(np.int64), np.iinfo(np.int64).min, s)
-            kth = np.partition(s, -k, axis=1)[:, -k]
-            floor = np.where(kth == np.iinfo(np.int64).min, -np.inf, kth.astype(np.float64))
-        by_length[int(n)] = (ids, q, floor)
-    sent = spark.sparkContext.broadcast(by_length)
-
-    def run(frames):
-        held: dict[int, list] = {}
-        for pdf in frames:
-            for n, group in pdf.groupby(pdf.v.map(len)):
-                if n in sent.value:
-                    held.setdefault(n, []).append((group.id.to_numpy(np.int64), np.stack(group.v.to_numpy()).astype(np.int64)))
-        for n, parts in held.items():
-            ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            lists = []
-            for qid, s, v in search(ids, x, *sent.value[n], k, leaf):
-                lists.append((np.full(len(s), qid), v, s.astype(np.int64)))
-                if len(lists) == 500:
-                    yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*lists)))))
-                    lists = []
-            if lists:
-                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*lists)))))
-
-    return rows.mapInPandas(run, "query_id long, vec_id long, score long")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    first = F.pmod(F.xxhash64("shard"), F.lit(first_wave)) == 0
+    # a block is what one Arrow batch of a partition holds
+    blocks = lambda floors: _blocks(floors, max(1, -(-n // query_block)), k, near)
+    search = lambda wave, floors: _searched(shards.where(wave), blocks(floors), n_shards <= FEW_SHARDS, k)
+    start = asked.withColumn("floor", F.lit(None).cast("double"))
+    if n_shards < first_wave:
+        out = search(F.lit(True), start)
+    else:
+        begun = written(ranked(search(first, start)).drop("rank"), "found")
+        kth = begun.groupBy("query_id").agg(F.count("*").alias("m"), F.min("score").alias("floor")).where(F.col("m") == k)
+        risen = asked.join(kth.select(F.col("query_id").alias("id"), F.col("floor").cast("double").alias("floor")), "id", "left")
+        out = begun.unionByName(search(~first, risen))
+    return ranked(out).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_ball_tree_topk(spark, sf_dir: str) -> DataFrame:
