@@ -278,7 +278,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are dealt once; the row that stays comes whole out of the task that compared its text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    others = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
     rest = F.struct(F.col(text_col).isNull().alias("null_text"), *others)
     rows = docs.select(F.xxhash64(text).alias("h"), text.alias("text"), F.col(id_col).cast("long").alias("id"), rest.alias("rest"))
     kind = rows.schema["rest"].dataType.simpleString()
