@@ -223,39 +223,61 @@ def brute_repeats(texts, w=200):
     return out
 
 
-def check_repeats(spark, rows):
-    df = documents(spark, rows).withColumn("n", F.monotonically_increasing_id())
-    got = suffix_array.remove_repeats(df).orderBy("n").collect()
-    want = brute_repeats([r.text for r in df.orderBy("n").collect()])
-    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == want
+def check_repeats(spark, rows, **kw):
+    df = documents(spark, rows).withColumns({"n": F.monotonically_increasing_id(), "a.b": F.lit("x"), "others": F.lit("x"), "n_spans": F.lit("x")})
+    got = suffix_array.remove_repeats(df, **kw).orderBy("n").collect()
+    want = brute_repeats([r.text for r in df.orderBy("n").collect()], kw.get("width", 200))
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == want and all(r["a.b"] == r.k1 == r.others == "x" for r in got)
 
 
-def test_repeats_edge_cases(spark):
-    short = [r for r in ROWS if r[1] is not LONG and not (r[1] or "").startswith(LONG)]
+SHORT = [r for r in ROWS if r[1] is not LONG and not (r[1] or "").startswith(LONG)]
+
+
+def repeat_rows():
     part, other = words(60, 3), words(60, 4)
-    more = [(20, part), (21, "x" + part[5:-5] + "y"), (22, other + part[10:260] + other[3:]), (23, "ab" * 400), (24, "a" * 199), (25, "é" * 150), (26, part[:199]), (27, "\x00" * 250 + part), (28, "\x7f" * 200), (29, "\x7f" * 200)]
-    check_repeats(spark, short + more)
+    return SHORT + [(20, part), (21, "x" + part[5:-5] + "y"), (22, other + part[10:260] + other[3:]), (23, "ab" * 400), (24, "a" * 199), (25, "é" * 150), (26, part[:199]), (27, "\x00" * 250 + part), (28, "\x7f" * 200), (29, "\x7f" * 200)]
+
+
+def test_repeats_edge_cases(spark):
+    check_repeats(spark, repeat_rows())
     check_repeats(spark, [(1, LONG[:5000]), (2, LONG[2000:9000]), (3, LONG[4000:4700] + LONG[100:500])])
     assert suffix_array.remove_repeats(documents(spark, [])).count() == 0
 
 
-def test_repeats_of_one_very_long_text(spark, monkeypatch):
-    monkeypatch.setattr(suffix_array, "SLICE", 3000)
-    data = np.frombuffer((LONG[:20_000] + LONG[500:900] + LONG[20_000:26_000]).encode(), np.uint8)
-    parts = list(suffix_array._parts(data, np.array([0, len(data)]), 200))
+def test_repeats_of_one_very_long_text(spark):
+    long = LONG[:20_000] + LONG[500:900] + LONG[20_000:26_000]
+    data = np.frombuffer(long.encode(), np.uint8)
+    parts = list(suffix_array._parts(data, np.array([0, len(data)]), 200, 3000))
     covered = sorted((lo, hi) for _, _, lo, hi, _ in parts)
     assert len(parts) > 4 and all(b[0] + 199 <= a[1] for a, b in zip(covered, covered[1:])) and covered[-1][1] == len(data)
+    check_repeats(spark, [(1, long), (2, LONG[19_900:20_300]), (3, "a" * 15_000)], slice_bytes=3000)
 
 
-def test_anchors_with_many_contexts(spark, monkeypatch):
+def test_anchors_with_many_contexts(spark):
     # windows of a very common passage are dealt singly
     rows = [(i, words(8, 100 + i) + " " + LONG[:260] + " " + words(8, 200 + i)) for i in range(12)] + [(50, words(8, 100) + " " + LONG[:230])]
-    text = documents(spark, rows)
-    plain = [tuple(r) for r in suffix_array.remove_repeats(text).orderBy("doc_id").select("n_removed", "n_spans", "kept_sha256").collect()]
-    monkeypatch.setattr(suffix_array, "MANY", 2)
-    assert [x[1:3] for x in brute_repeats([r[1] for r in rows])] == [x[:2] for x in plain]
-    solve = suffix_array.repeated_windows([b"x" * 250], [51])
-    assert solve[0].all()
+    for many in (20_000, 2, 1):
+        check_repeats(spark, rows, many=many)
+
+
+@pytest.mark.parametrize("which", ["content", "anchor", "both"])
+@pytest.mark.parametrize("many", [5000, 2])
+def test_hashes_decide_nothing(spark, which, many):
+    class Constant(suffix_array.Rolling):
+        def ranges(self, prefix, start, end):
+            return np.full(len(start), 7, np.uint64)
+
+        def fixed(self, prefix, width):
+            return np.full(len(prefix) - width, 7, np.uint64)
+
+    hashes = {"content": {"content": Constant(1)}, "anchor": {"anchor": Constant(1)}, "both": {"content": Constant(1), "anchor": Constant(1)}}[which]
+    check_repeats(spark, [r for r in repeat_rows() if r[0] != 27] + [(40, LONG[:700]), (41, LONG[300:900])], many=many, **hashes)
+
+
+def test_sorted_spans_folds_by_bytes():
+    rows = [(1, 10, 0, 1, False, b"abcd"), (1, 11, 5, 1, True, b"abcd"), (1, 12, 0, 2, False, b"xabcd"), (2, 13, 0, 1, False, b"abcd"), (2, 14, 3, 2, True, None)]
+    got = [x for part in suffix_array.sorted_spans(iter(rows), 4, 1) for x in part]
+    assert sorted(got) == [(10, 0, 4), (12, 1, 5), (14, 3, 8)]
 
 
 @settings(max_examples=60, deadline=None)
@@ -293,6 +315,45 @@ def test_stream_equals_whole(parts, block):
     assert list(b.stream(raw[i:i + block] for i in range(0, len(raw), block))) == b.merged(raw)
 
 
+PIECES = st.lists(st.sampled_from(["the", "er", " ", "  ", "\n", "\t ", "é", "漢", "0", "12", "'", "'l", "l", "'re", "!", "!'", "<|endof", "text|>", "<|endoftext|>", "<", "a" * 30, " " * 30, "=" * 30, "7" * 30, "\x1c", "\u00a0"]), max_size=60)
+
+
+@settings(max_examples=300, deadline=None)
+@given(PIECES, st.integers(1, 40), st.sampled_from([8, 20, 2048]))
+def test_encoder_in_blocks(parts, block, hold):
+    text, b = "".join(parts), bpe._worker(BYTE).bpe
+    before, bpe.HOLD = bpe.HOLD, hold
+    try:
+        encoder, got = bpe.Encoder(b), []
+        for i in range(0, len(text), block):
+            got += encoder.feed(text[i:i + block])
+            assert len(encoder.rest) <= hold + block + 2 and len(encoder.machine.buffer) <= bpe.BLOCK + b.lookahead + 200
+        got += encoder.close()
+    finally:
+        bpe.HOLD = before
+    assert got == LIB[BYTE].encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_keeps_constant_memory():
+    b = bpe._worker(BYTE).bpe
+    for unit in ("ab", " ", "=-", "9", "word <|endoftext|> "):
+        encoder, most, n = bpe.Encoder(b), 0, 0
+        for _ in range(60):
+            n += len(encoder.feed(unit * 2000))
+            most = max(most, len(encoder.rest) + len(encoder.mark) + len(encoder.machine.buffer))
+        n += len(encoder.close())
+        assert most < 3 * bpe.HOLD + bpe.BLOCK + b.lookahead and n > 0
+
+
+def test_long_rows_are_streamed(spark):
+    rows = [(1, LONG[:9000] + "=" * 4000 + " don't <|endoftext|> " + "é漢" * 3000), (2, "short"), (3, " " * 5000 + "x")]
+    for r in bpe.round_trip(documents(spark, rows), BYTE, keep=True, slice_bytes=1000).collect():
+        text = dict(rows)[r.doc_id]
+        ids = LIB[BYTE].encode(text, add_special_tokens=False).ids
+        assert (r.ids, r.decoded, r.n_tokens) == (ids, text, len(ids)) and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 50256), max_size=12))
 def test_decoder(ids):
@@ -313,16 +374,36 @@ def crc(ids):
 
 
 def test_wavelet_shards(spark):
-    df = documents(spark, ROWS)
+    rows = [*ROWS, *((700, f"copy {i % 3}") for i in range(40))]
+    df = documents(spark, rows)
     shards = wavelet.write_shards(df, WORD, 2, shard_tokens=500)
-    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in wavelet.read_documents(shards).orderBy("start").collect()]
-    want, start = [], 0
-    for doc, text in sorted(((r[0], r[1] or "") for r in ROWS), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode())):
-        ids = LIB[WORD].encode(text, add_special_tokens=False).ids + [2]
-        want.append((doc, start, len(ids), crc(ids)))
-        start += len(ids)
-    assert got == want and shards.count() > 3
-    assert wavelet.read_documents(wavelet.write_shards(documents(spark, []), WORD, 2)).count() == 0
+    got = wavelet.read_documents(shards).orderBy("start").collect()
+    want = Counter()
+    for doc, text, *_ in rows:
+        ids = LIB[WORD].encode(text or "", add_special_tokens=False).ids + [2]
+        want[doc, len(ids), crc(ids), ids[0], ids.count(ids[0]), len(ids) - 1 - ids[::-1].index(ids[0])] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32, r.first_id, r.n_first, r.last_first) for r in got) == want and shards.count() > 3
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert order == sorted(order) and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert len({r[0] for r in shards.select("_metadata.file_path").collect()}) == shards.count()  # a file each
+    token = LIB[WORD].encode("copy").ids[0]
+    places = Counter((r.doc_id, r.place) for r in wavelet.find_token(shards, token).collect())
+    assert places == Counter((doc, k) for doc, text, *_ in rows for k, i in enumerate(LIB[WORD].encode(text or "", add_special_tokens=False).ids) if i == token) and places[700, 0] == 40
+    empty = wavelet.write_shards(documents(spark, []), WORD, 2)
+    assert wavelet.read_documents(empty).count() == 0 and wavelet.find_token(empty, 2).count() == 0
+
+
+def test_planes_are_compressed_and_unpacked_where_needed():
+    a = np.random.default_rng(4).zipf(1.3, 600_000) % 40_000
+    raw = wavelet.WaveletMatrix.build(a).to_bytes()
+    assert len(raw) < 0.85 * (a.max().item().bit_length() / 8 * len(a))
+    w = wavelet.WaveletMatrix.from_bytes(raw)
+    at = np.array([5, 599_999, 77])
+    assert w.access(at).tolist() == a[at].tolist() and any(p.missing.any() for p in w.planes)
+    values = a[[3, 50_000, 7]]
+    assert w.counts(values, [0, 10, 99], [600_000, 400_000, 99]).tolist() == [(a == values[0]).sum(), (a[10:400_000] == values[1]).sum(), 0]
+    assert w.selects(values, [0, 1, 10**7]).tolist() == [np.flatnonzero(a == values[0])[0], np.flatnonzero(a == values[1])[1], -1]
+    assert (w.tokens() == a).all()
 
 
 @settings(max_examples=60, deadline=None)
@@ -365,6 +446,35 @@ def test_bins_hold(lengths):
         assert sum(n for _, n in inside) <= 64 and [o for o, _ in inside] == np.cumsum([0, *(n for _, n in inside)])[:-1].tolist()
 
 
+def naive_two_fit(lengths, capacity):
+    """The bins, as lists of lengths, from the rule: largest first, then two for the smallest."""
+    left, bins = sorted(lengths), []
+    while left:
+        inside, gap = [], capacity
+        while fit := [n for n in left if n <= gap]:
+            inside.append(fit[-1])
+            left.remove(fit[-1])
+            gap -= fit[-1]
+        if gap and left and len(inside) > 1:
+            room = gap + inside[-1]
+            pairs = [(a + b, a, b) for i, b in enumerate(left) for a in left[i + 1:] if inside[-1] < a + b <= room]
+            if pairs:
+                _, a, b = max(pairs)
+                left.remove(a), left.remove(b)
+                left = sorted([*left, inside[-1]])
+                inside[-1:] = [a, b]
+        bins.append(inside)
+    return bins
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60), st.sampled_from([40, 64, 97]))
+def test_two_fit_against_the_rule(lengths, capacity):
+    bins, at = packing.best_two_fit(np.array(lengths, np.int64), capacity)
+    got = [[n for _, n in sorted((o, n) for x, o, n in zip(bins, at, lengths) if x == b)] for b in range(len(set(bins.tolist())))]
+    assert got == naive_two_fit(lengths, capacity)
+
+
 # --- op6
 
 
@@ -408,38 +518,101 @@ def test_every_copy_of_a_notice_has_a_span(spark):
     assert got[0] == [(0, 4), (5, 9)] and got[1] == [(0, 4), (45, 49), (90, 94)] and got[2] == [(5 * i, 5 * i + 4) for i in range(3000)]
 
 
-def test_chains_do_not_overlap_a_better_one():
-    def dearest(found, least):
-        """The best chain of what does not overlap those taken, again and again."""
-        out = []
-        while True:
-            top, best = (0, 0, 0), []
-            for i, (a, b, ta, tb) in enumerate(found):
-                best.append((tb - ta, a, b))
-                for j in range(i):
-                    pb, pta, ptb = found[j][1:]
-                    over = max(0, pb - a, ptb - ta)
-                    apart = all(not (best[j][1] < q and b > p) for _, p, q in out)
-                    if apart and pta < ta and ptb < tb and pb < b and over < tb - ta and max(a - pb, ta - ptb) <= licenses.MAX_GAP and best[j][0] + tb - ta - over > best[-1][0]:
-                        best[-1] = (best[j][0] + tb - ta - over, best[j][1], b)
-                if best[-1][0] > top[0] or (best[-1][0] == top[0] and best[-1][1:] < top[1:]):
-                    top = best[-1]
-            if top[0] < least:
-                return out
-            out.append(top)
-            found = [m for m in found if m[1] <= top[1] or m[0] >= top[2]]
-
+def dearest(found, least, gap):
+    """The best chain of what does not overlap those taken, again and again."""
+    out = []
+    while True:
+        top, best = (0, 0, 0), []
+        for i, (a, b, ta, tb) in enumerate(found):
+            best.append((tb - ta, a, b))
+            for j in range(i):
+                pb, pta, ptb = found[j][1:]
+                over = max(0, pb - a, ptb - ta)
+                apart = all(not (best[j][1] < q and b > p) for _, p, q in out)
+                if apart and pta < ta and ptb < tb and pb < b and over < tb - ta and max(a - pb, ta - ptb) <= gap and best[j][0] + tb - ta - over > best[-1][0]:
+                    best[-1] = (best[j][0] + tb - ta - over, best[j][1], b)
+            if best[-1][0] > top[0] or (best[-1][0] == top[0] and best[-1][1:] < top[1:]):
+                top = best[-1]
+        if top[0] < least:
+            return out
+        out.append(top)
+        found = [m for m in found if m[1] <= top[1] or m[0] >= top[2]]
+
+
+@pytest.mark.parametrize("size", [19, 40, 250])
+def test_chains_do_not_overlap_a_better_one(size):
     rng = random.Random(8)
-    for _ in range(300):
+    for _ in range(150):
         found = set()
         for _ in range(rng.randint(1, 40)):
             n, a, t = rng.randint(3, 7), rng.randrange(150), rng.randrange(14)
             found.add((a, a + n, t, t + n))
-        assert licenses.Scanner.chains(sorted(found), 6, 20) == dearest(sorted(found), 6)
+        assert licenses.Scanner.chains(sorted(found), 6, size) == dearest(sorted(found), 6, licenses.allowed_gap(size))
+
+
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def brute_scan(text, templates, base):
+    """n_words, places of the base phrases and spans, from the definitions."""
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    split = lambda t: WORDS.findall(t.translate(low))
+    words = split(text)
+    places = sorted((i, label) for phrase, label in base for i in range(len(words)) if words[i:i + len(split(phrase))] == split(phrase))
+    spans = []
+    for label, template in templates:
+        own, found = split(template), []
+        for i in range(len(words)):
+            for j in range(len(own)):
+                k = 0
+                while i + k < len(words) and j + k < len(own) and words[i + k] == own[j + k]:
+                    k += 1
+                if k >= 3 and not (i and j and words[i - 1] == own[j - 1]):
+                    found.append((i, i + k, j, j + k))
+        for cover, a, b in dearest(sorted(found), 0.75 * len(own), min(12, len(own) // 20)):
+            if (cover := cover / max(len(own), b - a)) >= 0.75:
+                spans.append((label, a, b - 1, cover))
+    kept = []
+    for x in sorted(spans, key=lambda x: (-x[3], x[1], x[2], x[0])):
+        if not any(y[0] != x[0] and y[3] > x[3] and y[1] <= x[2] and x[1] <= y[2] for y in kept):
+            kept.append(x)
+    return len(words), places, kept
+
+
+def test_scan_against_definitions():
+    rng = random.Random(13)
+    own = [x for x in licenses.TEMPLATES if len(x[1]) < 700]
+    scanner = licenses.Scanner()
+    texts = []
+    for _ in range(60):
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(own)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                at = rng.randrange(len(w))
+                w[at:at + rng.randint(0, 2)] = rng.choice([[], ["lesser"], ["new", "words"], ["CC", "BY"]])
+            text += w[rng.choice([0, 0, 3]):] + rng.choice([[], ["all", "rights", "reserved."], ["x"] * 3])
+        texts.append(" ".join(text))
+    data, offsets = text_bytes(pa.array(texts, pa.string()))
+    for text, (n, places, spans) in zip(texts, scanner.scan(data, offsets)):
+        want = brute_scan(text, licenses.TEMPLATES, licenses.BASE)
+        assert (n, sorted(places)) == want[:2] and sorted(spans) == sorted(want[2])
+
+
+def test_kindred_licences_are_told_apart(spark):
+    texts = {"": "This work is licensed under terms of its own", "lgpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"}
+    for label, name, short in licenses.CREATIVE:
+        texts[label] = f"Copyright 2020. This work is licensed under a Creative Commons {name} 4.0 International License."
+    got = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, list(enumerate(texts.values())))).collect()}
+    for i, label in enumerate(texts):
+        assert set(got[i].labels.split(",")) - {"gpl" if label == "lgpl" else "x"} == {label}, texts[label]
+    short = {label: f"Licensed under {x} 4.0" for label, _, x in licenses.CREATIVE}
+    for r in licenses.scan_licenses(documents(spark, list(enumerate(short.values())))).collect():
+        assert {s.label for s in r.spans} == {list(short)[r.doc_id]}
 
 
 def test_licenses(spark, data):
-    notice = licenses.TEMPLATES[14][1]
+    notice = next(t for x, t in licenses.TEMPLATES if x == "mit")
     rows = [*ROWS, (30, "See CC BY and cc-by; general PUBLIC license."), (31, "head " + notice.upper() + " tail"), (32, "All rights reserved"), (33, "all rights"), (34, notice[:60]), (35, notice.replace("modify", "adapt"))]
     got = {(r.doc_id, r.n_words): r for r in licenses.scan_licenses(documents(spark, rows)).collect()}
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -617,38 +790,88 @@ def brute_top(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block, k", [(8192, 5), (2, 3)])
-def test_top_k(spark, block, k):
+@pytest.mark.parametrize("block, k, shard_rows, first_wave", [(8192, 5, 1 << 16, 8), (2, 3, 30, 8), (4, 6, 20, 2)])
+def test_top_k(spark, block, k, shard_rows, first_wave):
     rng = np.random.default_rng(11)
     rows = [(int(i), [float(x) for x in rng.normal(size=8).round(1)]) for i in range(400)] + [(400, None), (None, [1.0] * 8), (420, [1.0, None]), (440, [float("nan")] * 8), (460, []), (480, [1.0, 2.0]), (481, [3.0, 1.0]), (7, [9.0] * 8), (7, [9.0] * 8)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, id string")
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k, query_block=block, leaf=16).collect())
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k, query_block=block, leaf=16, shard_rows=shard_rows, first_wave=first_wave).collect())
     assert got == brute_top([(i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows], k)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    # products beyond what doubles hold exactly
+    big = spark.createDataFrame([(i, [float(2**22 + i) * 2**3, float(-i)], "x") for i in range(60)], "vec_id long, embedding array<double>, id string")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(big, F.col("vec_id") % 20 == 0, 3, scale=64).collect())
+    assert got == brute_top([(r[0], r[1]) for r in big.collect()], 3)
+
+
+def test_shared_score_prunes():
+    rng = np.random.default_rng(12)
+    x = rng.integers(-60, 60, (4000, 8))
+    shard = topk.Shard(np.arange(4000), x, 16)
+    q, none = x[:5], np.full(5, -np.inf)
+    found = {m: (s, v) for m, s, v in shard.search(np.arange(5), q, none, 4)}
+    kth = np.array([found[i][0][-1] for i in range(5)], float)
+    again = {m: (s, v) for m, s, v in shard.search(np.arange(5), q, kth, 4)}
+    assert all((found[i][0] == again[i][0]).all() and (found[i][1] == again[i][1]).all() for i in range(5))
+    assert not list(shard.search(np.arange(5), q, kth + 1e6, 4))
 
 
 # --- the pipeline
 
 
-def test_pipeline(spark, data):
+def test_pipeline_against_brute_force(spark, data):
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{data}/documents.parquet").limit(120)
-    docs = docs.unionByName(spark.createDataFrame([(9001, None, None, None, None), (9002, "12 !!", "en", "s", 5), (9003, "", "en", "s", 0)], docs.schema))
-    columns, sizes = docs.columns, []
-    at = docs
-    for name, stage in p.STAGES:
-        before = at.count()
-        at = stage(spark, at, data).cache()
-        sizes.append((name, before, at.count()))
-        if name != "pack":
-            assert at.columns == columns
-    assert [n for n, _, _ in sizes] == ["language_id", "exact_dedup", "near_dedup", "substring_dedup", "pack"]
-    assert sizes[0][1] - sizes[0][2] == 3  # the three without a letter
-    assert sizes[3][1] == sizes[3][2] and at.select("doc_id").distinct().count() == sizes[4][1]
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(150)
+    odd = [(9001, None, None, None, None), (9002, "12 !!", "en", "s", 5), (9003, "", "en", "s", 0), (None, "no id at all here, twice", None, "s", None), (None, "no id at all here, twice", None, "s", None)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in ("score", "lang_pred", "n_bytes", "n_removed", "_id", "_key", "others", "kept_text", "a.b")})
+    columns = docs.columns
+    step = lambda name, df: spark.createDataFrame(dict(p.STAGES)[name](spark, df, data).collect(), docs.schema) if name != "pack" else dict(p.STAGES)[name](spark, df, data)
+    own = lambda r: all(r[c] == f"{c} of {'-' if r.doc_id is None else r.doc_id}" for c in columns[5:])
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")
+
+    rows = docs.collect()
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    lang, score = model.predict([r.text for r in rows])
+    want = [(r.doc_id, r.text, r.lang or x) for r, x, v in zip(rows, lang, score) if x != "und" and v >= p.MIN_SCORE]
+    one = step("language_id", docs)
+    got = one.collect()
+    assert one.columns == columns and Counter((r.doc_id, r.text, r.lang) for r in got) == Counter(want) and all(map(own, got)) and len(rows) - 3 >= len(got) > 140
+
+    best = {}
+    for r in got:
+        best[r.text] = max(best.get(r.text, r), r, key=key)
+    two = step("exact_dedup", one)
+    got = two.collect()
+    assert two.columns == columns and Counter(r.doc_id for r in got) == Counter(r.doc_id for r in best.values()) and all(map(own, got)) and len(got) < one.count()
+
+    plain = [(r.doc_id, r.text) for r in got]
+    want = Counter(c for c in {(x[2] if x[2] is not None else x) for x in brute_near(plain, 5, 80)} if isinstance(c, int))
+    three = step("near_dedup", two)
+    got = three.collect()
+    assert three.columns == columns and Counter(r.doc_id for r in got if r.doc_id is not None) == want and all(map(own, got))
+
+    texts = sorted(((r.doc_id, r.text) for r in got), key=lambda x: (x[0] is not None, x[0] or 0))
+    four = step("substring_dedup", three)
+    got = sorted(four.collect(), key=key)
+    assert four.columns == columns and [len(r.text.encode()) for r in got] == [n - gone for n, gone, _, _ in brute_repeats([t for _, t in texts])] and all(map(own, got))
+    assert all(r.n_chars == len(r.text) for r in got)
+
+    packed = step("pack", four).toPandas()
+    texts = {(None if r.doc_id is None else r.doc_id): r.text for r in got}
+    for doc, g in packed.groupby("doc_id"):
+        ids = LIB[WORD].encode(texts[doc], add_special_tokens=False).ids + [1]
+        assert np.concatenate([np.frombuffer(b, "<u4") for b in g.sort_values("piece").ids]).tolist() == ids
+    assert packed.length.groupby(packed.sequence_id).sum().max() <= 4096 and len(packed) >= len(got)
+    bins = sorted(sorted(g.length) for _, g in packed.groupby("sequence_id"))
+    assert bins == sorted(map(sorted, naive_two_fit(packed.length.tolist(), 4096)))
 
 
 def test_pipeline_runs(spark, data):
     import corpus_pipeline as p
 
+    assert [n for n, _ in p.STAGES] == ["language_id", "exact_dedup", "near_dedup", "substring_dedup", "pack"]
     assert p.run(spark, data).count() > 0
+    empty = spark.read.parquet(f"{data}/documents.parquet").limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, empty, data).count() == 0
