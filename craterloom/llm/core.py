@@ -39,15 +39,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: With this, Spark drops an execution's shuffle files when it ends (4.1 on; unknown to older ones, which drop them later).
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, release: bool = True, **options) -> DataFrame:
     """The rows of df, written once to the shared folder and read back: cuts lineage and survives lost executors.
 
-    The files go when the session's file system closes.  With release, Spark's cleaner is led to drop
-    at once the shuffle files of what is no longer referred to.  options: of Spark's Parquet writer.
+    The files go when the session's file system closes.  Shuffle files of the write go when it ends, as nothing
+    else reads them.  With release, memory of what is no longer referred to is given back at once.
+    options: of Spark's Parquet writer.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.options(**options).parquet(path)
+    with contextlib.ExitStack() as after:
+        if tuple(map(int, spark.version.split(".")[:2])) >= (4, 1):
+            after.callback(spark.conf.set, CLEAN_UP, spark.conf.get(CLEAN_UP))
+            spark.conf.set(CLEAN_UP, "true")
+        df.write.options(**options).parquet(path)
     forget_on_exit(spark, path)
     if release:
         gc.collect()
