@@ -28,7 +28,7 @@ def fit(model: str, src: np.ndarray, ref: np.ndarray) -> np.ndarray | None:
         a, b = norm(src), norm(ref)
         (x, y), (u, v) = (src @ a[:2, :2].T + a[:2, 2]).T, (ref @ b[:2, :2].T + b[:2, 2]).T
         rows = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], 1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y, -v], 1)])
-        h = np.linalg.inv(b) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ a
+        h = np.linalg.inv(b) @ np.linalg.svd(rows, full_matrices=len(rows) < 9)[2][-1].reshape(3, 3) @ a
         return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
     if model == "SIMILARITY":
         rows = np.concatenate([np.stack([x, -y, one, zero], 1), np.stack([y, x, zero, one], 1)])
@@ -50,28 +50,63 @@ def draws(share: float, least: int, confidence: float) -> float:
     return np.log1p(-confidence) / np.log1p(-clean) if 0 < clean < 1 else (0.0 if clean else np.inf)
 
 
-def consensus(model: str, src: np.ndarray, ref: np.ndarray, threshold: float, rounds: int = 5000, seed: int = 7, confidence: float = 0.999, at_least: int = 200):
+def sample_fits(model: str, src: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Transforms through many minimal samples at once: src and ref (samples, points, 2) to (samples, 3, 3), NaN where none."""
+    n, k = src.shape[:2]
+    h = np.zeros((n, 3, 3))
+    h[:, 2, 2] = 1
+    if model == "TRANSLATION":
+        h[:, 0, 0] = h[:, 1, 1] = 1
+        h[:, :2, 2] = (ref - src)[:, 0]
+        return h
+    if model == "SIMILARITY":
+        z, w = src[..., 0] + 1j * src[..., 1], ref[..., 0] + 1j * ref[..., 1]
+        gap = z[:, 1] - z[:, 0]
+        turn = np.divide(w[:, 1] - w[:, 0], gap, out=np.full(n, np.nan, complex), where=np.abs(gap) > 1e-12)
+        move = w[:, 0] - turn * z[:, 0]
+        h[:, 0, 0], h[:, 0, 1], h[:, 0, 2] = turn.real, -turn.imag, move.real
+        h[:, 1, 0], h[:, 1, 1], h[:, 1, 2] = turn.imag, turn.real, move.imag
+        return h
+    one = np.concatenate([src, np.ones((n, k, 1))], 2)
+    if model == "AFFINE":
+        usable = np.abs(np.linalg.det(one)) > 1e-9
+        h[usable, :2] = np.swapaxes(np.linalg.solve(one[usable], ref[usable]), 1, 2)
+        h[~usable] = np.nan
+        return h
+    rows = np.zeros((n, 2 * k, 9))
+    rows[:, :k, :3] = rows[:, k:, 3:6] = one
+    rows[:, :k, 6:], rows[:, k:, 6:] = -ref[..., :1] * one, -ref[..., 1:] * one
+    flat = np.linalg.svd(rows)[2][:, -1]
+    return (flat / np.where(np.abs(flat[:, 8:]) > 1e-12, flat[:, 8:], np.nan)).reshape(n, 3, 3)
+
+
+def consensus(model: str, src: np.ndarray, ref: np.ndarray, threshold: float, rounds: int = 5000, seed: int = 7, confidence: float = 0.999, batch: int = 200):
     """Transform, inlier mask and rmse by sample consensus and refits on the inliers; null below the minimum.
 
-    Draws go on until the best inlier share so far gives the confidence, for at_least draws and at most rounds.
+    Batches of samples are drawn until the best inlier share so far gives the confidence, rounds of them at most.
     """
     least = MODELS[model][0]
     if len(src) < least:
         return None
-    rng, best, count = np.random.default_rng(seed), None, -1
-    needed = np.inf
-    for i in range(rounds):
-        if i >= max(at_least, needed):
-            break
-        pick = rng.choice(len(src), least, replace=False)
-        h = fit(model, src[pick], ref[pick])
-        if h is None or not np.isfinite(h).all():
-            continue
-        inside = residuals(h, src, ref) <= threshold
-        if inside.sum() > count:
-            best, count = inside, int(inside.sum())
-            if count == len(src):
-                break
+    rng, best, count, done, needed = np.random.default_rng(seed), None, -1, 0, np.inf
+    # centred and scaled, so that samples are solved well
+    centre, size = [p.mean(0) for p in (src, ref)], [max(1e-12, np.abs(p - p.mean(0)).max()) for p in (src, ref)]
+    a, b = (src - centre[0]) / size[0], (ref - centre[1]) / size[1]
+    x = np.column_stack([a, np.ones(len(a))])
+    while done < min(rounds, needed):
+        pick = rng.random((batch, len(src))).argpartition(least - 1, 1)[:, :least] if len(src) < 200 else rng.integers(0, len(src), (batch, least))
+        done += batch
+        pick.sort(1)
+        h = sample_fits(model, *(p[pick[(pick[:, 1:] != pick[:, :-1]).all(1)]] for p in (a, b)))
+        h = h[np.isfinite(h).all((1, 2))]
+        for i in range(0, len(h), max(1, 1_000_000 // len(src))):
+            p = x @ np.swapaxes(h[i:i + max(1, 1_000_000 // len(src))], 1, 2)
+            w = np.where(np.abs(p[..., 2:]) < 1e-12, 1e-12, p[..., 2:])
+            inside = ((p[..., :2] / w - b) ** 2).sum(2) <= (threshold / size[1]) ** 2
+            top = int(inside.sum(1).argmax())
+            if inside[top].sum() > count:
+                best, count = inside[top], int(inside[top].sum())
+        if count > 0:
             needed = draws(count / len(src), least, confidence)
     if best is None or count < least:
         return None
@@ -134,3 +169,10 @@ def local_affine(points: DataFrame, fits: DataFrame, size: float, grid: int = 4,
         return pd.DataFrame({"pair_id": [key[0]], "tile": [key[1]], "n": [len(src)], "source": [source], "rmse": [rmse], "shift": [shift]})
 
     return cells.join(held, ["pair_id", "tile"], "left").groupBy("pair_id", "tile").applyInPandas(run, "pair_id long, tile int, n long, source string, rmse double, shift double")
+
+
+def local_summary(tiles: DataFrame) -> DataFrame:
+    """For each pair of local_affine(): mean rmse of the tiles that have one above 0, largest shift, local and fallback tiles."""
+    return tiles.groupBy("pair_id").agg(
+        F.avg(F.when(~F.isnan("rmse") & (F.col("rmse") > 0), F.col("rmse"))).alias("mean_rmse"), F.max("shift").alias("max_shift"),
+        F.count_if(F.col("source") == "local").alias("local_tiles"), F.count_if(F.col("source") == "fallback").alias("fallback_tiles"))

@@ -60,6 +60,18 @@ def claims(status: Column, held_out: Column, held_out_rmse: Column, subpixel_rms
     }
 
 
+def compatibility_claims(status: Column, reopened: Column, held_out: Column, held_out_rmse: Column, subpixel_count: Column, coverage: Column, scale_ratio: Column, illuminated: Column, scope: Column, inlier_ratio: Column) -> dict[str, Column]:
+    """The two-valued claims under their older names."""
+    ok = F.coalesce(status == "SUCCESS", F.lit(False))
+    ready = F.coalesce((held_out == "READY") & held_out_rmse.isNotNull(), F.lit(False))
+    proven = lambda c: F.when(F.coalesce(c, F.lit(False)), "PROVEN").otherwise("DATA_REQUIRED")
+    return {
+        "real_registration_supported": proven(ok & reopened), "independent_accuracy_supported": proven(ready), "subpixel_accuracy_supported": proven(ready & (subpixel_count > 0)),
+        "uniform_distribution_supported": proven(coverage >= 0.5), "scale_robustness_supported": proven(scale_ratio.isNotNull() & ok), "illumination_robustness_supported": proven(illuminated & ok),
+        "validation_scope": F.coalesce(F.nullif(scope, F.lit("")), F.lit("DATA_REQUIRED")), "inlier_ratio_available": F.when(inlier_ratio.isNotNull(), "AVAILABLE").otherwise("NOT_AVAILABLE"),
+    }
+
+
 def validation_status(has_pair: Column, has_checkpoints: Column, n_checkpoints: Column, has_transform: Column, rmse: Column) -> Column:
     return (
         F.when(~has_pair, "NOT_VALIDATED").when(~has_checkpoints, "PENDING_CHECKPOINTS").when(~has_transform, "PENDING_REGISTRATION").when(n_checkpoints < 4, "INSUFFICIENT_CHECKPOINTS")

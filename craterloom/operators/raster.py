@@ -75,6 +75,13 @@ def stretch(pixels: DataFrame, low: float = 0.01, high: float = 0.99, empty: flo
     return pixels.join(cuts, "raster_id").withColumn("stretched", F.coalesce(P.stretched(F.col("value"), F.col("_low"), F.col("_high")), F.lit(empty))).drop("_low", "_high")
 
 
+def shadow_stretch(pixels: DataFrame, dark: float = 0.05, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """With lit (above the raster's dark quantile) and stretched (between two percentiles; pixels without data null)."""
+    cuts = pixels.groupBy("raster_id").agg(*(F.percentile("value", q).alias(n) for n, q in (("_dark", dark), ("_low", low), ("_high", high))))
+    out = pixels.join(cuts, "raster_id").withColumn("lit", F.col("value") > F.col("_dark")).withColumn("stretched", P.stretched(F.col("value"), F.col("_low"), F.col("_high")))
+    return out.drop("_dark", "_low", "_high")
+
+
 def overview(pixels: DataFrame, height: int, width: int, size: int) -> DataFrame:
     """Block averages on a size x size grid."""
     return pixels.groupBy("raster_id", F.floor(F.col("y") * size / height).cast("int").alias("oy"), F.floor(F.col("x") * size / width).cast("int").alias("ox")).agg(F.avg("value").alias("value"))

@@ -46,8 +46,11 @@ def covariance(cube: DataFrame) -> DataFrame:
     return a.join(b, ["cube_id", "y", "x"]).where("a <= b").groupBy("cube_id", "a", "b").agg(F.covar_samp("va", "vb").alias("cov"))
 
 
-def structural_band(cube: DataFrame) -> DataFrame:
-    """First principal component of each cube, its sign that of its correlation with the band mean."""
+def structural_band(cube: DataFrame, stretch: bool = True) -> DataFrame:
+    """First principal component of each cube, its sign that of its correlation with the band mean.
+
+    stretch: to [0, 1] between its 1st and 99th percentile.  All pixels fix the component, none are left out.
+    """
     import numpy as np
     import pandas as pd
 
@@ -62,6 +65,9 @@ def structural_band(cube: DataFrame) -> DataFrame:
             score = centred @ vectors[:, -1]
             if (score * (v.mean(1) - v.mean())).sum() < 0:
                 score = -score
+        if stretch:
+            low, high = np.percentile(score, [1, 99])
+            score = np.clip((score - low) / max(high - low, 1e-5), 0, 1)
         return pd.DataFrame({"cube_id": pdf["cube_id"].iloc[0], "y": wide.index.get_level_values(0), "x": wide.index.get_level_values(1), "value": score})
 
     return clean_bands(cube).groupBy("cube_id").applyInPandas(run, "cube_id long, y int, x int, value double")

@@ -42,20 +42,63 @@ def entropy_inside(points: DataFrame, width: float, height: float, grid: int = G
     return entropy_clamped(inside, width, height, grid)
 
 
+def nearest_distance(xy: np.ndarray, rank: np.ndarray | None = None, ignore_zero: bool = False) -> np.ndarray:
+    """Distance of each point to its nearest other one (of smaller rank, if ranks are given), infinite without any.
+
+    Points lie sorted in square cells; around each one, rings of cells are searched until the nearest is certain.
+    """
+    n = len(xy)
+    out = np.full(n, np.inf)
+    if n < 2:
+        return out
+    low = xy.min(0)
+    side = max(float((xy.max(0) - low).max()) / max(1.0, np.sqrt(n / 2)), 1e-9)
+    cell = np.floor((xy - low) / side).astype(np.int64)
+    width = int(cell[:, 0].max()) + 1
+    key = cell[:, 1] * width + cell[:, 0]
+    order = np.argsort(key, kind="stable")
+    held = key[order]
+    open_, reach = np.arange(n), 1
+    while len(open_):
+        for dy in range(-reach, reach + 1):
+            row = cell[open_, 1] + dy
+            first = np.searchsorted(held, row * width + np.maximum(0, cell[open_, 0] - reach))
+            last = np.searchsorted(held, row * width + np.minimum(width - 1, cell[open_, 0] + reach), "right")
+            many = np.where((row >= 0) & (last > first), last - first, 0)
+            for lo in _runs(many, 2_000_000):
+                at = np.repeat(open_[lo], many[lo])
+                ends = np.cumsum(many[lo])
+                other = order[np.repeat(first[lo] - (ends - many[lo]), many[lo]) + np.arange(int(ends[-1]) if len(ends) else 0)]
+                d = np.sqrt(((xy[at] - xy[other]) ** 2).sum(1))
+                bad = (other == at) if rank is None else (rank[other] >= rank[at])
+                if ignore_zero:
+                    bad |= d == 0
+                d[bad] = np.inf
+                np.minimum.at(out, at, d)
+        if reach >= width and reach * side >= float((xy.max(0) - low).max()):
+            break
+        open_ = open_[out[open_] > reach * side]
+        reach *= 2
+    return out
+
+
+def _runs(many: np.ndarray, limit: int):
+    """Slices of entries that stand for about limit candidates."""
+    ends = np.cumsum(many)
+    first = 0
+    while first < len(many):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + limit, "right")))
+        yield slice(first, last)
+        first = last
+
+
 def nearest(points: DataFrame, ignore_zero: bool) -> DataFrame:
     """pair_id, tp_id, distance to the nearest other source point of the pair.
 
-    ignore_zero: coinciding points do not count as neighbours.  A pair's points are compared in blocks.
+    ignore_zero: coinciding points do not count as neighbours.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = pdf[["src_x", "src_y"]].to_numpy()
-        out = np.full(len(xy), np.inf)
-        for i in range(0, len(xy), 512):
-            d = np.sqrt(((xy[i:i + 512, None] - xy[None]) ** 2).sum(2))
-            d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-            if ignore_zero:
-                d[d == 0] = np.inf
-            out[i:i + 512] = d.min(1) if len(xy) > 1 else np.inf
+        out = nearest_distance(pdf[["src_x", "src_y"]].to_numpy(), ignore_zero=ignore_zero)
         return pd.DataFrame({"pair_id": pdf["pair_id"], "tp_id": pdf["tp_id"], "nn": np.where(np.isinf(out), np.nan, out)})
 
     found = points.select("pair_id", "tp_id", "src_x", "src_y").groupBy("pair_id").applyInPandas(run, "pair_id long, tp_id long, nn double")
@@ -66,11 +109,7 @@ def suppression_radius(points: DataFrame, target: int) -> DataFrame:
     """The target points of each pair with the largest distance to any stronger point (the strongest: infinite)."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["confidence", "tp_id"], ascending=[False, True]).reset_index(drop=True)
-        xy, out = pdf[["src_x", "src_y"]].to_numpy(), np.full(len(pdf), np.inf)
-        for i in range(0, len(xy), 512):
-            d = ((xy[i:i + 512, None] - xy[None, :i + 512]) ** 2).sum(2)
-            d[np.arange(i, i + len(d))[:, None] <= np.arange(d.shape[1])] = np.inf
-            out[i:i + 512] = np.sqrt(d.min(1))
+        out = nearest_distance(pdf[["src_x", "src_y"]].to_numpy(), rank=np.arange(len(pdf)))
         pdf["radius"] = np.where(np.isinf(out), -1.0, out)
         pdf["order"] = np.arange(len(pdf))
         pdf["key"] = np.where(np.isinf(out), np.inf, out.round(9))
@@ -94,23 +133,46 @@ def close_pairs(points: DataFrame, radius: float) -> DataFrame:
     return a.join(b, ["pair_id", "cx", "cy"]).where(stronger & (d <= radius)).select("pair_id", F.col("a_tp_id").alias("strong"), F.col("b_tp_id").alias("weak"), d.alias("distance"))
 
 
-def seam_survivors(points: DataFrame, radius: float = 4.0) -> DataFrame:
-    """Points with no surviving stronger point within radius: strongest first, round by round.
+#: Close pairs of points of one image pair that one task settles (24 bytes each).
+SETTLED_AT_ONCE = 2_000_000
+
+
+def seam_survivors(points: DataFrame, radius: float = 4.0, at_once: int = SETTLED_AT_ONCE) -> DataFrame:
+    """Points with no surviving stronger point within radius, strongest first.
 
-    Each round keeps the undecided points without an undecided stronger neighbour and drops their
-    neighbours; chains take as many rounds as they are deep.  Rounds are checkpointed.
+    The close pairs of an image pair are settled in one task.  Where an image pair has more than at_once of them, all are
+    settled round by round over many tasks instead, with the same result: each round keeps the undecided points without an
+    undecided stronger neighbour and drops their neighbours; rounds are checkpointed.
     """
     edges = close_pairs(points, radius).select("pair_id", "strong", "weak").checkpoint()
-    dropped = None
-    left = edges
+    most = edges.groupBy("pair_id").count().agg(F.max("count")).first()[0]
+    if most is None:
+        return points
+    if most <= at_once:
+        strength = points.select("pair_id", F.col("tp_id").alias("strong"), "confidence")
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            gone: set[int] = set()
+            for strong, weak in pdf.sort_values(["confidence", "strong"], ascending=[False, True])[["strong", "weak"]].itertuples(index=False):
+                if strong not in gone:
+                    gone.add(weak)
+            return pd.DataFrame({"pair_id": np.full(len(gone), pdf["pair_id"].iloc[0]), "tp_id": np.array(sorted(gone), np.int64)})
+
+        dropped = edges.join(strength, ["pair_id", "strong"]).groupBy("pair_id").applyInPandas(run, "pair_id long, tp_id long")
+        return points.join(dropped, ["pair_id", "tp_id"], "left_anti")
+    return points.join(_settled_in_rounds(edges), ["pair_id", "tp_id"], "left_anti")
+
+
+def _settled_in_rounds(edges: DataFrame) -> DataFrame:
+    left, dropped = edges, edges.select("pair_id", F.col("weak").alias("tp_id")).limit(0)
     while not left.isEmpty():
         weak = left.select("pair_id", F.col("weak").alias("tp_id")).distinct()
         keep = left.select("pair_id", F.col("strong").alias("tp_id")).distinct().join(weak, ["pair_id", "tp_id"], "left_anti")
         gone = left.join(keep.withColumnRenamed("tp_id", "strong"), ["pair_id", "strong"], "left_semi").select("pair_id", F.col("weak").alias("tp_id")).distinct().checkpoint()
-        dropped = gone if dropped is None else dropped.unionByName(gone)
+        dropped = dropped.unionByName(gone)
         left = left.join(gone.withColumnRenamed("tp_id", "weak"), ["pair_id", "weak"], "left_anti")
         left = left.join(gone.withColumnRenamed("tp_id", "strong"), ["pair_id", "strong"], "left_anti").select("pair_id", "strong", "weak").checkpoint()
-    return points if dropped is None else points.join(dropped, ["pair_id", "tp_id"], "left_anti")
+    return dropped
 
 
 def empty_region(counts: list[int], grid: int = GRID) -> int:

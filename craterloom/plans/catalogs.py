@@ -193,6 +193,19 @@ def p21_claims(spark, d):
     return t.select("k", *(v.alias(n) for n, v in out.items()))
 
 
+_PROVEN = "CASE WHEN coalesce({}, false) THEN 'PROVEN' ELSE 'DATA_REQUIRED' END AS {}_supported"
+
+
+@query("P21", _P + f", t AS ({_CLAIM}) SELECT k, " + ", ".join(_PROVEN.format(c, n) for c, n in (
+    (f"{_OK} AND reopened", "real_registration"), (_READY, "independent_accuracy"), (f"{_READY} AND k % 12 > 0", "subpixel_accuracy"), ("coverage >= 0.5", "uniform_distribution"),
+    (f"ratio IS NOT NULL AND {_OK}", "scale_robustness"), (f"lit AND {_OK}", "illumination_robustness"))) + """, coalesce(nullif(held, ''), 'DATA_REQUIRED') AS validation_scope, CASE WHEN rmse IS NOT NULL THEN 'AVAILABLE' ELSE 'NOT_AVAILABLE' END AS inlier_ratio_available FROM t""")
+def p21_compatibility_claims(spark, d):
+    t = spark.sql(_CLAIM.replace("FROM products", "FROM {products}"), products=relation(spark, d, "products"))
+    c = F.col
+    out = gates.compatibility_claims(c("status"), c("reopened"), c("held"), c("rmse"), c("k") % 12, c("coverage"), c("ratio"), c("lit"), c("held"), c("rmse"))
+    return t.select("k", *(v.alias(n) for n, v in out.items()))
+
+
 @query("P22", """WITH m AS (SELECT * FROM (VALUES (1, 'SAME_SENSOR', 'SUPPORTED'), (2, 'CROSS_SENSOR', 'DATA_REQUIRED'), (3, 'SPECTRAL', 'PARTIAL'), (4, 'MULTISCALE', 'DATA_REQUIRED'), (5, 'CROSS_MISSION', 'DATA_REQUIRED')) v(i, pair, status)), c AS (SELECT count(*) FILTER (WHERE toxic = 1) > 0 AS cross_ready FROM labels)
 SELECT i, pair, CASE WHEN cross_ready AND i IN (2, 5) THEN 'AVAILABLE' ELSE status END AS status FROM m, c""")
 def p22_validation_matrix(spark, d):

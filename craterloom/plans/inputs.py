@@ -2,11 +2,13 @@
 
 Each relation is one SELECT that Spark and DuckDB read alike; :func:`relation` gives the DataFrame
 and :data:`SQL` the text.  Columns follow the operators' data model: products (a catalog), tie_points,
-transforms, checkpoints, pixels and cube (rasters and spectral cubes in long form).
+transforms, checkpoints, pixels and cube (rasters and spectral cubes in long form), frames (pairs of larger rasters).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,7 @@ SELECT tp_id, pair_id, src_x, src_y, src_x * 1.01E0 + 12.5E0 + nx AS ref_x, src_
 FROM (SELECT o_orderkey AS tp_id, CAST(floor(o_orderkey / 300.0) AS BIGINT) AS pair_id, CAST((o_orderkey * 7919) % 102400 AS DOUBLE) / 100 AS src_x, CAST((o_orderkey * 104729) % 102400 AS DOUBLE) / 100 AS src_y,
   (CAST((o_orderkey * 31) % 201 AS DOUBLE) - 100) / 397E0 AS nx, (CAST((o_orderkey * 57) % 201 AS DOUBLE) - 100) / 397E0 AS ny, CAST(1 + (o_custkey * 613) % 999 AS DOUBLE) / 1000 AS confidence
   FROM orders) t""",
+    "clustered": "",
     "transforms": """
 SELECT pair_id, 1.01E0 + pair_id % 5 * 0.001E0 AS h00, CASE WHEN pair_id % 13 = 5 THEN 4.5E0 ELSE pair_id % 3 * 0.002E0 END AS h01, 12.5E0 AS h02,
        pair_id % 4 * -0.001E0 AS h10, CASE WHEN pair_id % 17 = 3 THEN -0.99E0 WHEN pair_id % 19 = 4 THEN 0.01E0 ELSE 0.99E0 END AS h11, -3.25E0 AS h12,
@@ -54,17 +57,52 @@ SELECT pair_id, 1.01E0 + pair_id % 5 * 0.001E0 AS h00, CASE WHEN pair_id % 13 =
 FROM (SELECT DISTINCT CAST(floor(o_orderkey / 300.0) AS BIGINT) AS pair_id FROM orders) t""",
 }
 
+#: All tie points, drawn towards one corner so that parts of their images stay empty.
+SQL["clustered"] = f"SELECT tp_id, pair_id, src_x * src_x * src_x / 1048576E0 AS src_x, src_y * src_y / 1024E0 AS src_y FROM ({SQL['tie_points']}) c"
+
 #: Rasters of 8 x 8 pixels, one for each embedding; some pixels have no data.
 PIXELS_DUCK = """
 SELECT vec_id AS raster_id, CAST((i - 1) // 8 AS INT) AS y, CAST((i - 1) % 8 AS INT) AS x, CASE WHEN (vec_id * 64 + i - 1) % 23 = 0 THEN NULL ELSE CAST(v AS DOUBLE) END AS value
 FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) e"""
 
 
+#: Smooth texture: whole numbers mixed at the corners of cells, bilinear in between; cells of two sizes, with their weight.
+CELLS = ((11, 0.5, 0), (5, 0.4, 3))
+
+
+def _mixed(n: int, di: int, dj: int, shift: int) -> str:
+    a, b = f"(i{n} + {di})", f"(j{n} + {dj})"
+    return f"CAST(pmod({a} * {a} * 31 + {b} * {b} * 57 + {a} * {b} * 1013 + {a} * 37476 + {b} * 66826 + (k + {shift}) * 9753, 10007) AS DOUBLE) / 10007.0E0 AS n{n}{di}{dj}"
+
+
+def _textured(places: str) -> str:
+    """The texture (column value) at the places (u, v) of a SELECT; step by step, so that no step is a huge expression."""
+    cells = ", ".join(f"CAST(floor(u / {c}.0E0) AS BIGINT) AS i{n}, CAST(floor(v / {c}.0E0) AS BIGINT) AS j{n}, u / {c}.0E0 - floor(u / {c}.0E0) AS f{n}, v / {c}.0E0 - floor(v / {c}.0E0) AS g{n}" for n, (c, _, _) in enumerate(CELLS))
+    corners = ", ".join(_mixed(n, di, dj, shift) for n, (_, _, shift) in enumerate(CELLS) for di in (0, 1) for dj in (0, 1))
+    value = " + ".join(f"{w}E0 * ((1 - f{n}) * (1 - g{n}) * n{n}00 + f{n} * (1 - g{n}) * n{n}10 + (1 - f{n}) * g{n} * n{n}01 + f{n} * g{n} * n{n}11)" for n, (_, w, _) in enumerate(CELLS))
+    return f"SELECT *, 0.1E0 + {value} AS value FROM (SELECT *, {corners} FROM (SELECT *, {cells} FROM ({places}) p0) p1) p2"
+
+
+#: Rasters of SIZE x SIZE pixels in pairs: side 0 is a region's texture, side 1 the same ground seen through a known
+#: affine transform (pixel (x, y) of side 1 shows the place (u, v) of side 0); one pair for each region.
+SIZE = 256
+SEEN = {"u": "(x * (1.0E0 + k * 0.002E0) - y * 0.012E0 + 6.25E0 + k)", "v": "(x * 0.012E0 + y * (1.0E0 + k * 0.002E0) - 4.5E0 - k)"}
+FRAMES = "SELECT k * 2 + side AS raster_id, k AS pair_id, side, y, x, CASE WHEN (x * 7 + y * 13 + k) % 1009 = 0 THEN NULL ELSE value END AS value FROM (" + _textured(
+    f"SELECT k, side, y, x, CASE WHEN side = 0 THEN CAST(x AS DOUBLE) ELSE {SEEN['u']} END AS u, CASE WHEN side = 0 THEN CAST(y AS DOUBLE) ELSE {SEEN['v']} END AS v FROM grid") + ") f"
+_GRID_DUCK = f"(SELECT CAST(r_regionkey AS BIGINT) AS k, CAST(s AS INT) AS side, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM region, range(2) t1(s), range({SIZE}) t2(y), range({SIZE}) t3(x)) grid"
+FRAMES_DUCK = re.sub(r"pmod\((.+?), 10007\)", r"(((\1) % 10007 + 10007) % 10007)", FRAMES).replace("FROM grid", f"FROM {_GRID_DUCK}")
+
+
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "pixels":
         e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("i", "v"))
         value = F.when((F.col("vec_id") * 64 + F.col("i")) % 23 != 0, F.col("v").cast("double"))
         return e.select(F.col("vec_id").alias("raster_id"), (F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), value.alias("value"))
+    if name == "frames":
+        of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        grid = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("k"), of(2).alias("side"))
+        grid = grid.repartition(2 * 5, "k", "side").withColumn("y", of(SIZE)).withColumn("x", of(SIZE))
+        return spark.sql(FRAMES.replace("FROM grid", "FROM {grid}"), grid=grid)
     text, tables = SQL[name], {}
     for table in ("customer", "supplier", "orders"):
         if f"FROM {table}" in text:
@@ -75,4 +113,4 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duck(*names: str) -> str:
     """WITH clause that defines the named relations for DuckDB."""
-    return "WITH " + ", ".join(f"{n} AS ({PIXELS_DUCK if n == 'pixels' else SQL[n]})" for n in names)
+    return "WITH " + ", ".join(f"{n} AS ({ {'pixels': PIXELS_DUCK, 'frames': FRAMES_DUCK}.get(n) or SQL[n]})" for n in names)

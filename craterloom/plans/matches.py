@@ -74,90 +74,115 @@ def r14_local_tiles(spark, d):
     return rounded(E.local_affine(p, E.fitted(p, ("AFFINE",), 0.5), 1024.0), 5)
 
 
+@query("G22", None)
+def g22_local_summary(spark, d):
+    return rounded(E.local_summary(r14_local_tiles(spark, d)), 5)
+
+
+#: Tile size of the kernels' queries, and the pixels around a tile that they see.
+TILE, HALO = 128, 24
+
+
 def _image(name: str, kernel, covers: str):
-    """Registers a kernel that maps an image to an image."""
+    """Registers a kernel that maps an image to an image, run on tiles with a halo."""
     def f(spark, d):
-        def run(k, image):
-            y, x = np.indices(image.shape)
-            return pd.DataFrame({"raster_id": k, "y": y.ravel(), "x": x.ravel(), "value": np.asarray(kernel(image), float).ravel()})
+        def run(k, row, column, own, image):
+            out = np.asarray(kernel(image), float)[own]
+            y, x = np.indices(out.shape)
+            return pd.DataFrame({"raster_id": k, "y": y.ravel() + row + own[0].start, "x": x.ravel() + column + own[1].start, "value": out.ravel()})
 
-        return rounded(K.per_raster(relation(spark, d, "pixels"), run, "raster_id long, y int, x int, value double"))
+        return rounded(K.per_tile(relation(spark, d, "frames"), TILE, HALO, run, "raster_id long, y int, x int, value double"), 5)
 
     f.__name__ = name
     query(covers)(f)
 
 
-_image("r3_retinex_clahe", lambda i: 0.5 * K.retinex(i) + 0.5 * K.equalised(K.retinex(i)), "R3 W7")
-_image("r5_phase_congruency", lambda i: K.phase_congruency(i)[0], "R4 R5")
-_image("t8_orientation_index", lambda i: K.phase_congruency(i)[2], "T8 R5")
+_image("r3_retinex_clahe", K.enhanced, "R3 W7")
+_image("r5_phase_congruency", lambda i: K.phase_congruency(i)[1], "R4 R5")
+_image("t8_orientation_index", lambda i: K.phase_congruency(i)[3], "T8 R5")
+
+
+def _own_corners(image, own):
+    """Corners of an image with halo that lie in the tile itself."""
+    return [(y, x) for y, x in K.corners(image) if own[0].start <= y < own[0].stop and own[1].start <= x < own[1].stop]
 
 
 @query("R9", None)
 def r9_descriptors(spark, d):
-    def run(k, image):
-        mim = K.phase_congruency(image)[2]
-        at = K.corners(image)
-        return pd.DataFrame({"raster_id": k, "y": [p[0] for p in at], "x": [p[1] for p in at], "v": [K.mim_descriptor(mim, *p).round(6) for p in at]})
+    def run(k, row, column, own, image):
+        _, moment, _, mim = K.phase_congruency(image)
+        held = [(y + row, x + column, v.round(6)) for y, x in _own_corners(moment, own) if (v := K.mim_descriptor(mim, y, x)) is not None]
+        return pd.DataFrame([(k, *r) for r in held], columns=["raster_id", "y", "x", "v"])
 
-    return K.per_raster(relation(spark, d, "pixels"), run, "raster_id long, y int, x int, v array<double>")
+    return K.per_tile(relation(spark, d, "frames"), TILE, HALO, run, "raster_id long, y int, x int, v array<double>")
 
 
 @query("T10", None)
 def t10_corners(spark, d):
-    def run(k, image):
-        at = K.corners(image)
-        return pd.DataFrame({"raster_id": k, "n": range(len(at)), "y": [p[0] for p in at], "x": [p[1] for p in at]})
+    def run(k, row, column, own, image):
+        at = _own_corners(image, own)
+        return pd.DataFrame({"raster_id": k, "n": range(len(at)), "y": [p[0] + row for p in at], "x": [p[1] + column for p in at]})
 
-    return K.per_raster(relation(spark, d, "pixels"), run, "raster_id long, n int, y int, x int")
+    return K.per_tile(relation(spark, d, "frames"), TILE, HALO, run, "raster_id long, n int, y int, x int")
 
 
-def _pairs_of(spark, d, kernel, schema: str):
-    """kernel(pair id, image 2k, image 2k + 1) for neighbouring rasters."""
-    px = relation(spark, d, "pixels").withColumn("pair", F.floor(F.col("raster_id") / 2).cast("long"))
+def _overviews(spark, d, kernel, schema: str):
+    """kernel(pair id, source, reference) for the half-size overviews of each pair of frames."""
+    side = lambda s: F.avg(F.when(F.col("side") == s, F.col("value")))
+    half = lambda c: (F.col(c) / 2).cast("int").alias(c)
+    px = relation(spark, d, "frames").groupBy(F.col("pair_id").alias("raster_id"), half("y"), half("x")).agg(side(0).alias("a"), side(1).alias("b"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        images = {k: K.image_of(g) for k, g in pdf.groupby("raster_id")}
-        a, b = sorted(images)[0], sorted(images)[-1]
-        return kernel(int(pdf["pair"].iloc[0]), images[a], images[b])
+        return kernel(int(pdf["raster_id"].iloc[0]), *(K.image_of(pdf.assign(value=pdf[c])) for c in "ab"))
 
-    return px.groupBy("pair").applyInPandas(run, schema)
+    return px.groupBy("raster_id").applyInPandas(run, schema)
 
 
 @query("R7", None)
 def r7_phase_shift(spark, d):
     def run(k, a, b):
-        dx, dy, response = K.phase_shift(a, np.roll(a, (k % 3, k % 2), (0, 1)))
-        return pd.DataFrame({"pair": [k], "dx": [dx], "dy": [dy], "response": [response]})
+        return pd.DataFrame([(k, *K.translation(a, b))], columns=["pair", "dx", "dy", "response"])
 
-    return rounded(_pairs_of(spark, d, run, "pair long, dx double, dy double, response double"))
+    return rounded(_overviews(spark, d, run, "pair long, dx double, dy double, response double"), 5)
 
 
 @query("R6", None)
 def r6_similarity(spark, d):
     def run(k, a, b):
-        rotation, scale, response = K.similarity(a, b)
-        return pd.DataFrame({"pair": [k], "rotation": [rotation], "scale": [scale], "response": [response]})
+        return pd.DataFrame([(k, *K.similarity(a, b))], columns=["pair", "rotation", "scale", "dx", "dy", "response"])
 
-    return rounded(_pairs_of(spark, d, run, "pair long, rotation double, scale double, response double"))
+    return rounded(_overviews(spark, d, run, "pair long, rotation double, scale double, dx double, dy double, response double"), 5)
 
 
 @query("R11 M14", None)
 def r11_ncc_subpixel(spark, d):
     from craterloom.functions.photometry import paraboloid_peak
 
-    def run(k, a, b):
-        at = K.corners(a)
-        s = [K.ncc_surface(a, a + 0.05 * b, *p) for p in at]
-        return pd.DataFrame({"pair": k, "y": [p[0] for p in at], "x": [p[1] for p in at], **{f"s{i}{j}": [m[i, j] for m in s] for i in range(3) for j in range(3)}})
-
-    grid = _pairs_of(spark, d, run, "pair long, y int, x int, " + ", ".join(f"s{i}{j} double" for i in range(3) for j in range(3)))
+    names = [f"s{i}{j}" for i in range(3) for j in range(3)]
+
+    def run(k, row, column, own, a, b):
+        rows = []
+        for y, x in _own_corners(a, own):
+            # the reference sees the ground 6 to 11 pixels off
+            surface = K.ncc_surface(a, b, y, x, max(0, y + 5 + k), max(0, x - 6 - k))
+            if surface is None:
+                continue
+            py, px = np.unravel_index(surface.argmax(), surface.shape)
+            if 0 < py < 4 and 0 < px < 4:
+                rows.append((k, y + row, x + column, py - 2 + 5 + k, px - 2 - 6 - k, *surface[py - 1:py + 2, px - 1:px + 2].ravel()))
+        return pd.DataFrame(rows, columns=["pair", "y", "x", "my", "mx", *names])
+
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("value")))
+    px = relation(spark, d, "frames").groupBy(F.col("pair_id").alias("raster_id"), "y", "x").agg(side(0).alias("a"), side(1).alias("b"))
+    found = K.per_tile(px, TILE, HALO, run, "pair long, y int, x int, my int, mx int, " + ", ".join(f"{n} double" for n in names), ("a", "b"))
     fit = paraboloid_peak({(i - 1, j - 1): F.col(f"s{i}{j}") for i in range(3) for j in range(3)})
-    return rounded(grid.select("pair", "y", "x", *(fit[c].alias(c) for c in ("dx", "dy", "peak"))).where("dx is not null"))
+    refined = found.select("pair", "y", "x", (F.col("mx") + fit["dx"]).alias("dx"), (F.col("my") + fit["dy"]).alias("dy"), fit["peak"].alias("peak"))
+    return rounded(refined.where("dx is not null"), 5)
 
 
-@query("R20 R21 P24", None)
-def r20_registration_run(spark, d):
-    """Match, thin, fit, evaluate: one report row for each pair."""
+@query("R20 P24", None)
+def r20_tie_point_run(spark, d):
+    """From ready tie points: thin, fit, evaluate; one report row for each pair."""
     from craterloom.functions import transforms as T
     from craterloom.operators import gates
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from craterloom.operators import kernels as K
 from craterloom.plans.catalogs import _IDENT
 from craterloom.plans.inputs import duck, relation
 from craterloom.plans.pairs import _triangle, _xyz
+from craterloom.plans.rasters import SOBEL_STEPS as _SOBEL_STEPS
 from craterloom.plans.registry import query, rounded
 from craterloom.sources import archive, readers
 
@@ -45,6 +48,7 @@ def s6_tiff_round_trip(spark, d):
     return rounded(_encoded(spark, d, write_tiff).mapInPandas(run, "raster_id long, y int, x int, value double"))
 
 
+_SUN = [repr(math.cos(math.radians(30.0)) * math.sin(math.radians(135.0))) + "e0", repr(math.cos(math.radians(30.0)) * math.cos(math.radians(135.0))) + "e0", repr(math.sin(math.radians(30.0))) + "e0"]
 _CR = "WITH c AS (SELECT (n_nationkey * 37 % 64) AS cx, (n_nationkey * 53 % 48) AS cy, 2 + n_nationkey % 5 AS radius, 1.0e0 + n_nationkey % 3 AS depth FROM nation)"
 
 
@@ -56,7 +60,11 @@ def s21_terrain(spark, d):
     return rounded(archive.terrain(spark, craters, 48, 64))
 
 
-@query("S21 W3", None)
+_Z = _CR + """, p0 AS (SELECT CAST(i // 64 AS INT) AS y, CAST(i % 64 AS INT) AS x FROM (SELECT unnest(range(0, 3072)) AS i)), r0 AS (SELECT y, x, depth, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) / radius AS r FROM p0, c),
+f AS (SELECT 0 AS raster_id, y, x, round(sum(CASE WHEN r < 1 THEN depth * (r * r - 1) + 0.2 * depth WHEN r <= 3 THEN 0.2 * depth * exp(-2 * (r - 1)) ELSE 0 END), 6) AS filled FROM r0 GROUP BY y, x)"""
+
+
+@query("S21 W3", _Z + _SOBEL_STEPS + f" SELECT y, x, round(greatest(0, (-zx * {_SUN[0]} - zy * {_SUN[1]} + {_SUN[2]}) / sqrt(zx*zx+zy*zy+1)), 6) AS value FROM n")
 def s21_shaded_terrain(spark, d):
     return rounded(archive.shaded(s21_terrain(spark, d), 135.0, 30.0))
 

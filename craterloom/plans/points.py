@@ -77,13 +77,13 @@ def g9_spatial_metrics(spark, d):
     return rounded(N.spatial_metrics(_points(spark, d), SIDE, SIDE).drop("by_cell"))
 
 
-@query("G10", _TP + f""", thin AS (SELECT * FROM tie_points WHERE tp_id % 9 = 0), h AS (SELECT DISTINCT pair_id, {_CELL} AS cell FROM thin),
-empty AS (SELECT p.pair_id, CAST(g.cell AS INT) AS cell FROM (SELECT DISTINCT pair_id FROM thin) p, (SELECT unnest(range(0, 64)) AS cell) g WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.pair_id = p.pair_id AND h.cell = g.cell)),
+@query("G10", duck("clustered") + f""", h AS (SELECT DISTINCT pair_id, {_CELL} AS cell FROM clustered),
+empty AS (SELECT p.pair_id, CAST(g.cell AS INT) AS cell FROM (SELECT DISTINCT pair_id FROM clustered) p, (SELECT unnest(range(0, 64)) AS cell) g WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.pair_id = p.pair_id AND h.cell = g.cell)),
 reach AS (WITH RECURSIVE w(pair_id, cell, root) AS (SELECT pair_id, cell, cell FROM empty UNION SELECT e.pair_id, e.cell, w.root FROM w JOIN empty e ON e.pair_id = w.pair_id
  AND (abs(e.cell - w.cell) = 8 OR abs(e.cell - w.cell) = 1 AND e.cell // 8 = w.cell // 8)) SELECT pair_id, root, count(*) AS n FROM w GROUP BY pair_id, root)
-SELECT p.pair_id, CAST(coalesce(max(n), 0) AS BIGINT) AS largest_empty_region FROM (SELECT DISTINCT pair_id FROM thin) p LEFT JOIN reach r ON r.pair_id = p.pair_id GROUP BY p.pair_id""")
+SELECT p.pair_id, CAST(coalesce(max(n), 0) AS BIGINT) AS largest_empty_region FROM (SELECT DISTINCT pair_id FROM clustered) p LEFT JOIN reach r ON r.pair_id = p.pair_id GROUP BY p.pair_id""")
 def g10_largest_empty(spark, d):
-    return N.largest_empty(N.spatial_metrics(_points(spark, d).where("tp_id % 9 = 0"), SIDE, SIDE))
+    return N.largest_empty(N.spatial_metrics(relation(spark, d, "clustered"), SIDE, SIDE))
 
 
 @query("G12", _TP + ", " + _NN.format(" FILTER (WHERE a.src_x <> b.src_x OR a.src_y <> b.src_y)") + """, q AS (SELECT pair_id, count(DISTINCT least(7, CAST(trunc(src_y / 1024 * 8) AS INT)) * 8 + least(7, CAST(trunc(src_x / 1024 * 8) AS INT))) / 64.0e0 AS occ,
@@ -121,11 +121,12 @@ def g6_residual_statistics(spark, d):
         low(F.stddev_pop(r), 0.0).alias("std_res"), low(F.percentile(r, 0.9)).alias("ce90"), low(F.percentile(r, 0.95)).alias("p95"), (low(rmse) < 0.40).alias("meets_mandate")))
 
 
-@query("G13", _RES + """, c AS (SELECT *, sqrt(pow(round_even(px, 0) - ref_x, 2) + pow(round_even(py, 0) - ref_y, 2)) AS ires FROM res WHERE tp_id % 3 = 0), a AS (SELECT pair_id, count(*) AS n, sqrt(avg(res * res)) AS s, sqrt(avg(ires * ires)) AS i,
+@query("G13", _RES + """, c AS (SELECT *, sqrt(pow(round_even(px, 0) - ref_x, 2) + pow(round_even(py, 0) - ref_y, 2)) AS ires FROM res), a AS (SELECT pair_id, count(*) AS n, sqrt(avg(res * res)) AS s, sqrt(avg(ires * ires)) AS i,
 quantile_cont(res, 0.5) AS sm, quantile_cont(ires, 0.5) AS im, quantile_cont(res, 0.95) AS sp, quantile_cont(ires, 0.95) AS ip FROM c GROUP BY pair_id) SELECT pair_id, n AS checkpoint_count, round(s, 6) AS subpixel_rmse, round(i, 6) AS integer_rmse,
 round(sm, 6) AS subpixel_median, round(im, 6) AS integer_median, round(sp, 6) AS subpixel_p95, round(ip, 6) AS integer_p95, round(CASE WHEN i > 0 THEN (i - s) / greatest(i, 1e-6) * 100 ELSE 0 END, 5) AS improvement_percent FROM a WHERE n >= 4""")
 def g13_checkpoint_accuracy(spark, d):
-    c = _residuals(spark, d).where("tp_id % 3 = 0").withColumn("ires", F.sqrt(F.pow(F.rint("px") - F.col("ref_x"), 2) + F.pow(F.rint("py") - F.col("ref_y"), 2)))
+    """Every tie point as a checkpoint of its pair's transform."""
+    c = _residuals(spark, d).withColumn("ires", F.sqrt(F.pow(F.rint("px") - F.col("ref_x"), 2) + F.pow(F.rint("py") - F.col("ref_y"), 2)))
     rms = lambda x: F.sqrt(F.avg(F.col(x) * F.col(x)))
     a = c.groupBy("pair_id").agg(F.count("*").alias("checkpoint_count"), rms("res").alias("subpixel_rmse"), rms("ires").alias("integer_rmse"), F.percentile("res", 0.5).alias("subpixel_median"), F.percentile("ires", 0.5).alias("integer_median"),
                                  F.percentile("res", 0.95).alias("subpixel_p95"), F.percentile("ires", 0.95).alias("integer_p95")).where("checkpoint_count >= 4")

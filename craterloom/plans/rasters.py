@@ -56,7 +56,9 @@ def _mirror(c: str, axis: str) -> tuple[str, str]:
 _B, _A = _mirror("filled", "x")
 _DB, _DA = _mirror("d", "y")
 _SB, _SA = _mirror("s", "y")
-_SOBEL = _FILLED + f", e AS (SELECT *, {_A} - {_B} AS d, {_A} + 2 * filled + {_B} AS s FROM f), n AS (SELECT *, ({_DA} + 2 * d + {_DB}) / 8 AS zx, ({_SA} - {_SB}) / 8 AS zy FROM e)"
+#: From f (raster_id, y, x, filled) to its slopes n (zx, zy).
+SOBEL_STEPS = f", e AS (SELECT *, {_A} - {_B} AS d, {_A} + 2 * filled + {_B} AS s FROM f), n AS (SELECT *, ({_DA} + 2 * d + {_DB}) / 8 AS zx, ({_SA} - {_SB}) / 8 AS zy FROM e)"
+_SOBEL = _FILLED + SOBEL_STEPS
 
 
 @query("W3", _PX + _SOBEL + " SELECT raster_id, y, x, round(-zx / sqrt(zx*zx+zy*zy+1), 6) AS nx, round(-zy / sqrt(zx*zx+zy*zy+1), 6) AS ny, round(1 / sqrt(zx*zx+zy*zy+1), 6) AS nz FROM n")

@@ -20,7 +20,7 @@ def stream_windowed_counts(spark, d):
     rows = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     rows.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-    out = S.run_into_memory(S.windowed_counts(stream, "ts", "event_type", "1 hour", "1000 days"), "w" + uuid.uuid4().hex, f"{base}/state")
+    out = S.run_into_table(S.windowed_counts(stream, "ts", "event_type", "1 hour", "1000 days"), f"{base}/out", f"{base}/state")
     return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
 
 
@@ -31,7 +31,7 @@ def stream_latest_product(spark, d):
     p = relation(spark, d, "products").select("product_id", "instrument", "status", "acquisition_time")
     p.write.parquet(f"{base}/in")
     stream = S.ingest(spark, f"{base}/in", "product_id string, instrument string, status string, acquisition_time string")
-    return S.run_into_memory(S.latest_by(stream, "instrument"), "l" + uuid.uuid4().hex, f"{base}/state")
+    return S.run_into_table(S.latest_by(stream, "instrument"), f"{base}/out", f"{base}/state")
 
 
 @query("2.12 P2", duck("products") + "SELECT status, count(*) AS n FROM products GROUP BY status")

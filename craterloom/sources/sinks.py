@@ -79,6 +79,19 @@ def digest(points: DataFrame) -> DataFrame:
     return hashed.groupBy("pair_id").agg(F.upper(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x.h), "").cast("binary"), 256)).alias("sha256"))
 
 
+def csv_digest(points: DataFrame) -> DataFrame:
+    """pair_id, digest: upper-case SHA-256 of a pair's tie points as the report's CSV file (header, nine decimals, by tp_id).
+
+    The digest of a file needs its lines in order, so a pair's lines meet in one row; digest() is for pairs beyond that.
+    """
+    fixed = lambda c: F.coalesce(F.format_string("%.9f", c), F.lit(""))
+    value = lambda c: F.when(F.col(c).isNotNull(), fixed(c)).otherwise("")
+    line = F.concat_ws(",", *(value(c) for c in ("ref_x", "ref_y", "src_x", "src_y", "confidence", "residual")))
+    lines = points.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("tp_id", line.alias("line")))).alias("l"))
+    text = F.concat(F.lit("ref_x,ref_y,target_x,target_y,confidence,residual_error\n"), F.array_join(F.transform("l", lambda x: F.concat(x.line, F.lit("\n"))), ""))
+    return lines.select("pair_id", F.upper(F.sha2(text.cast("binary"), 256)).alias("digest"))
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Header and rows; arrays and structs as JSON."""
     flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
@@ -92,3 +105,61 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def append_pair(df: DataFrame, path: str) -> None:
     """Adds pairs to a manifest table."""
     df.write.mode("append").parquet(path)
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes each row (name, content) as a file of its own below folder; the paths written (run when they are read).
+
+    A task that is run again writes the same bytes to the same place.
+    """
+    import pandas as pd
+
+    base = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    base = base.replace("file:/", "file:///", 1) if base.startswith("file:/") and not base.startswith("file://") else base
+
+    def run(frames):
+        from pyarrow import fs
+
+        for pdf in frames:
+            paths = []
+            for name, content in zip(pdf["name"], pdf["content"]):
+                system, place = fs.FileSystem.from_uri(f"{base.rstrip('/')}/{name}")
+                system.create_dir(place.rsplit("/", 1)[0])
+                with system.open_output_stream(place) as f:
+                    f.write(content.encode("utf-8") if isinstance(content, str) else content)
+                paths.append(f"{base.rstrip('/')}/{name}")
+            yield pd.DataFrame({"name": pdf["name"], "path": paths})
+
+    return files.select("name", "content").mapInPandas(run, "name string, path string")
+
+
+def registration_package(fits: DataFrame, points: DataFrame, spatial: DataFrame, products: DataFrame) -> DataFrame:
+    """pair_id, file, content: the JSON documents that describe each pair's registration.
+
+    fits: pair_id, model, h00 .. h22, rmse; points: pair_id, residual, inlier; spatial: pair_id and its measures;
+    products: pair_id and the structs source and reference, with gsd_m, width, height among their fields.
+    """
+    c = F.col
+    counts = points.groupBy("pair_id").agg(F.count("*").alias("raw_matches"), F.count_if("inlier").alias("inlier_count"),
+                                           F.sort_array(F.collect_list(F.when(c("inlier"), c("residual")))).alias("fit_residuals"))
+    held = fits.join(counts, "pair_id").join(spatial.select("pair_id", F.struct(*(x for x in spatial.columns if x != "pair_id")).alias("spatial")), "pair_id").join(products, "pair_id")
+    row = lambda i: F.array(*(c(f"h{i}{j}") for j in range(3)))
+    matrix, ratio = F.array(row(0), row(1), row(2)), c("inlier_count") / c("raw_matches")
+    full = lambda side: F.struct(F.lit(0).alias("col_off"), F.lit(0).alias("row_off"), c(f"{side}.width").alias("width"), c(f"{side}.height").alias("height"))
+    scale = c("reference.gsd_m") / c("source.gsd_m")
+    frames = {"source_frame": F.lit("FULL_SOURCE_IMAGE"), "reference_frame": F.lit("FULL_REFERENCE_IMAGE")}
+    documents = {
+        "output_validation.json": {"status": F.lit("VERIFIED"), "width": c("reference.width"), "height": c("reference.height")},
+        "geometry.json": {"model": F.lit("GLOBAL_PROJECTIVE"), **frames, "parameters": matrix, "fit_point_count": c("raw_matches"), "inlier_count": c("inlier_count"), "inlier_ratio": ratio, "fit_residuals": c("fit_residuals"), "held_out_residuals": F.array().cast("array<double>"), "plausibility_status": F.lit("PLAUSIBLE")},
+        "source_metadata.json": None, "reference_metadata.json": None,
+        "overlap.json": {"overlap_status": F.lit("OVERLAP_UNKNOWN"), "geometry_method": F.lit("FULL_IMAGE"), "scale_ratio": scale, "source_window": full("source"), "reference_window": full("reference")},
+        "provenance.json": {"pair_id": c("pair_id"), "config": F.lit("default")},
+        "coordinate_audit.json": {**frames, "transform_direction": F.lit("SOURCE_TO_REFERENCE"), "convention": F.lit("T(source FULL_IMAGE) = reference FULL_IMAGE"), "source_offset": F.array(F.lit(0), F.lit(0)), "reference_offset": F.array(F.lit(0), F.lit(0)), "source_gsd_m": c("source.gsd_m"), "reference_gsd_m": c("reference.gsd_m"), "scale_ratio": scale},
+        "spatial_distribution.json": {"frame": F.lit("FULL_SOURCE_IMAGE"), "raw_match_count": c("raw_matches"), "inlier_count": c("inlier_count"), "inlier_ratio": ratio, "measures": c("spatial")},
+        "transform.json": {"model": F.lit("HOMOGRAPHY"), "matrix": matrix, "source_frame": F.lit("FULL_SOURCE_IMAGE"), "target_frame": F.lit("FULL_REFERENCE_IMAGE")},
+        "metrics.json": {"rmse_pixels": c("rmse"), "inlier_ratio": ratio, "inlier_count": c("inlier_count"), "raw_matches": c("raw_matches"), "spatial_entropy": c("spatial.entropy"), "coverage_ratio": c("spatial.coverage"), "estimated_transform": matrix},
+    }
+    whole = {"source_metadata.json": c("source"), "reference_metadata.json": c("reference")}
+    struct = lambda name, fields: whole[name] if fields is None else F.struct(*(v.alias(k) for k, v in fields.items()))
+    files = [F.struct(F.lit(name).alias("file"), F.to_json(struct(name, fields), {"ignoreNullFields": "false"}).alias("content")) for name, fields in documents.items()]
+    return held.select("pair_id", F.explode(F.array(*files)).alias("f")).select("pair_id", "f.*")

@@ -33,7 +33,18 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_into_memory(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Drains what is there into a named in-memory table (complete mode), for results of a few rows."""
-    stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_into_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drains what is there; every micro-batch writes the whole result so far below path, the last one is read back.
+
+    The result stays with the executors; a batch that is run again writes the same folder.
+    """
+    done: list[int] = []
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        done.append(batch)
+
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/batch={max(done)}")
