@@ -19,6 +19,7 @@ from craterloom.operators import kernels as K
 from craterloom.operators import thinning as N
 from craterloom.operators import warping as W
 from craterloom.operators.matching import nearest_two
+from craterloom.sources.scratch import ensure_checkpoint_dir
 
 OVERVIEW, CELL = 512, 64
 #: A tile's matcher: source tile, reference tile -> rows (source x, y, reference x, y, confidence, subpixel).
@@ -135,7 +136,9 @@ def registered(pixels: DataFrame, tile: int = 1024, overlap: int = 128, threshol
     """(tie points kept at seams, one homography from source to reference for each pair that has one)."""
     if overlap >= tile:
         raise ValueError("the overlap must be smaller than the tile")
-    points = tile_matches(pixels, windows_of(pixels, tile, tile - overlap, max_tiles, coarse), matcher)
+    ensure_checkpoint_dir(pixels.sparkSession)
+    # matched once: what follows reads the tie points several times
+    points = tile_matches(pixels, windows_of(pixels, tile, tile - overlap, max_tiles, coarse), matcher).checkpoint()
     kept = N.seam_survivors(points, radius)
     return kept, E.fitted(kept, ("HOMOGRAPHY",), threshold)
 

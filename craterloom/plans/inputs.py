@@ -8,10 +8,13 @@ transforms, checkpoints, pixels and cube (rasters and spectral cubes in long for
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from craterloom.sources.scratch import ensure_checkpoint_dir
+
 
 def _products(table: str, k: str, nat: str, bal: str, spread: str) -> str:
     return f"""
@@ -93,16 +96,29 @@ _GRID_DUCK = f"(SELECT CAST(r_regionkey AS BIGINT) AS k, CAST(s AS INT) AS side,
 FRAMES_DUCK = re.sub(r"pmod\((.+?), 10007\)", r"(((\1) % 10007 + 10007) % 10007)", FRAMES).replace("FROM grid", f"FROM {_GRID_DUCK}")
 
 
+#: Where each application has written the frames of a data folder: they are a raster table that queries read several times.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        grid = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("k"), of(2).alias("side"), of(SIZE).alias("y"))
+        grid = grid.repartition(spark.sparkContext.defaultParallelism, "k", "side", "y").withColumn("x", of(SIZE))
+        path = f"{ensure_checkpoint_dir(spark)}/frames-{uuid.uuid4().hex}"
+        spark.sql(FRAMES.replace("FROM grid", "FROM {grid}"), grid=grid).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.schema("raster_id bigint, pair_id bigint, side int, y int, x int, value double").parquet(_WRITTEN[key])
+
+
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "pixels":
         e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("i", "v"))
         value = F.when((F.col("vec_id") * 64 + F.col("i")) % 23 != 0, F.col("v").cast("double"))
         return e.select(F.col("vec_id").alias("raster_id"), (F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), value.alias("value"))
     if name == "frames":
-        of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        grid = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("k"), of(2).alias("side"))
-        grid = grid.repartition(2 * 5, "k", "side").withColumn("y", of(SIZE)).withColumn("x", of(SIZE))
-        return spark.sql(FRAMES.replace("FROM grid", "FROM {grid}"), grid=grid)
+        return _frames(spark, sf_dir)
     text, tables = SQL[name], {}
     for table in ("customer", "supplier", "orders"):
         if f"FROM {table}" in text:

@@ -9,7 +9,6 @@ from craterloom.operators import registration as G
 from craterloom.operators import warping as W
 from craterloom.plans.inputs import SIZE, duck, relation
 from craterloom.plans.registry import query, rounded
-from craterloom.sources.scratch import ensure_checkpoint_dir
 
 _FR = duck("frames")
 #: A transform from a reference frame's source to its reference that has a little perspective.
@@ -166,9 +165,7 @@ def s22_benchmark_truth(spark, d):
 
 
 def _pairs(spark, d):
-    """The frames as a raster table that is read several times."""
-    ensure_checkpoint_dir(spark)
-    return relation(spark, d, "frames").select("pair_id", "side", "y", "x", "value").checkpoint()
+    return relation(spark, d, "frames").select("pair_id", "side", "y", "x", "value")
 
 
 @query("R20 R21 P24 J7 T3", None)
@@ -177,7 +174,6 @@ def r20_registration_run(spark, d):
     from craterloom.operators import gates
 
     points, fits = G.registered(_pairs(spark, d), 160, 32)
-    points = points.checkpoint()
     out = G.report(points, fits)
     yes = F.lit(True)
     return rounded(out.withColumn("status", gates.registration_status(yes, F.lit(False), F.col("inliers"), F.col("verdict") == "PLAUSIBLE", yes, yes, yes)), 3)
