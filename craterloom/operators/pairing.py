@@ -58,37 +58,59 @@ def scored(df: DataFrame, max_km: float = 500.0, max_ratio: float = 320.0) -> Da
     return df.withColumn("candidate_score", F.when(F.col("is_valid"), score).otherwise(0.0))
 
 
+#: Grids for boxes of any size: each is so many times coarser than the one before.
+LEVELS, COARSER = 5, 4
+
+
 def overlapping_cells(df: DataFrame, cell_deg: float) -> DataFrame:
-    """One row for each cell of a lon/lat grid that a product's bounding box touches."""
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell_deg), F.floor(F.col(hi) / cell_deg))
-    return df.where("min_lon is not null").withColumn("cell_x", F.explode(span("min_lon", "max_lon"))).withColumn("cell_y", F.explode(span("min_lat", "max_lat")))
+    """Rows (level, cell_x, cell_y, own) for the cells of a lon/lat grid that a product's bounding box touches.
+
+    A box's own level is the finest whose cells are at least half its size, so it owns few cells whatever its
+    size; it visits those of all coarser levels too.
+    """
+    size = lambda level: F.lit(cell_deg) * F.pow(F.lit(float(COARSER)), level)
+    extent = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"), F.lit(0.0))
+    level = F.lit(LEVELS - 1)
+    for i in range(LEVELS - 2, -1, -1):
+        level = F.when(extent <= 2 * cell_deg * COARSER**i, i).otherwise(level)
+    held = df.where("min_lon is not null").withColumn("own_level", level).withColumn("level", F.explode(F.sequence("own_level", F.lit(LEVELS - 1))))
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size(F.col("level"))), F.floor(F.col(hi) / size(F.col("level"))))
+    held = held.withColumn("cell_x", F.explode(span("min_lon", "max_lon"))).withColumn("cell_y", F.explode(span("min_lat", "max_lat")))
+    return held.withColumn("own", F.col("level") == F.col("own_level"))
 
 
 def overlapping_pairs(products: DataFrame, cell_deg: float = 2.0) -> DataFrame:
     """Pairs a.k < b.k whose bounding boxes intersect, by an equi-join on grid cells: no product of all rows.
 
-    A pair is given in the one cell that holds the lower left corner of its intersection.
+    A pair meets on the own level of its larger box, and is given in the one cell that holds the lower left corner of
+    its intersection.
     """
     a, b = (side_with_cells(products, p, cell_deg) for p in "ab")
-    met = a.join(b, ["cell_x", "cell_y"]).where("a_k < b_k and least(a_max_lon, b_max_lon) > greatest(a_min_lon, b_min_lon) and least(a_max_lat, b_max_lat) > greatest(a_min_lat, b_min_lat)")
-    first = (F.floor(F.greatest("a_min_lon", "b_min_lon") / cell_deg) == F.col("cell_x")) & (F.floor(F.greatest("a_min_lat", "b_min_lat") / cell_deg) == F.col("cell_y"))
-    return met.where(first).drop("cell_x", "cell_y")
+    met = a.join(b, ["level", "cell_x", "cell_y"]).where("a_own or b_own")
+    met = met.where("a_k < b_k and least(a_max_lon, b_max_lon) > greatest(a_min_lon, b_min_lon) and least(a_max_lat, b_max_lat) > greatest(a_min_lat, b_min_lat)")
+    at = lambda lo, hi: F.floor(F.greatest(lo, hi) / (F.lit(cell_deg) * F.pow(F.lit(float(COARSER)), F.col("level"))))
+    first = (at("a_min_lon", "b_min_lon") == F.col("cell_x")) & (at("a_min_lat", "b_min_lat") == F.col("cell_y"))
+    return met.where(first).drop("level", "cell_x", "cell_y", "a_own", "b_own")
 
 
 def side_with_cells(products: DataFrame, prefix: str, cell_deg: float) -> DataFrame:
-    return overlapping_cells(products, cell_deg).select("cell_x", "cell_y", *(F.col(c).alias(f"{prefix}_{c}") for c in SIDE))
+    return overlapping_cells(products, cell_deg).select("level", "cell_x", "cell_y", F.col("own").alias(f"{prefix}_own"), *(F.col(c).alias(f"{prefix}_{c}") for c in SIDE))
 
 
 def proximate_pairs(products: DataFrame, limit_deg: float = 1.0) -> DataFrame:
-    """Pairs a.k < b.k of which one has no footprint and whose centres are within limit_deg (plain degrees), by grid cells."""
+    """Pairs a.k < b.k of which one has no footprint and whose centres are within limit_deg (plain degrees), by grid cells.
+
+    Products with footprints never meet each other here.
+    """
     cell = lambda c: F.floor(F.col(c) / limit_deg)
     a = side(products, "a").where("a_lat is not null and a_lon is not null").withColumns({"cell_x": cell("a_lon"), "cell_y": cell("a_lat")})
     b = side(products, "b").where("b_lat is not null and b_lon is not null")
     near = F.array(*(F.lit(i) for i in (-1, 0, 1)))
     b = b.withColumn("cell_x", F.explode(F.transform(near, lambda i: cell("b_lon") + i))).withColumn("cell_y", F.explode(F.transform(near, lambda i: cell("b_lat") + i)))
     dist = F.sqrt(F.pow(F.col("a_lat") - F.col("b_lat"), 2) + F.pow(F.col("a_lon") - F.col("b_lon"), 2))
-    met = a.join(b, ["cell_x", "cell_y"]).where("a_k < b_k and (a_min_lon is null or b_min_lon is null)")
-    return met.where(dist <= limit_deg).drop("cell_x", "cell_y")
+    unknown = a.where("a_min_lon is null").join(b, ["cell_x", "cell_y"])
+    met = unknown.unionByName(a.where("a_min_lon is not null").join(b.where("b_min_lon is null"), ["cell_x", "cell_y"]))
+    return met.where("a_k < b_k").where(dist <= limit_deg).drop("cell_x", "cell_y")
 
 
 def candidates(products: DataFrame) -> DataFrame:

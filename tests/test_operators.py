@@ -98,6 +98,25 @@ def test_two_nearest_of_one(spark):
     assert matching.ratio_matches(a, b).count() == 0
 
 
+def test_boxes_of_all_sizes_meet_once(spark):
+    from craterloom.operators import pairing
+
+    rng = np.random.default_rng(15)
+    rows = []
+    for k in range(60):
+        w, h = rng.choice([0.5, 3.0, 30.0, 200.0, 360.0], 2)
+        lon, lat = rng.uniform(-180, 180), rng.uniform(-90, 90)
+        rows.append((k, lon, lat, *((None,) * 4 if k % 7 == 0 else (float(lon - w / 2), float(lon + w / 2), float(lat - h / 2), float(lat + h / 2)))))
+    df = spark.createDataFrame([(r[0], float(r[1]), float(r[2]), *r[3:]) for r in rows], "k long, lon double, lat double, min_lon double, max_lon double, min_lat double, max_lat double")
+    df = df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in pairing.SIDE))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3] is not None and b[3] is not None and min(a[4], b[4]) > max(a[3], b[3]) and min(a[6], b[6]) > max(a[5], b[5])}
+    got = [(r.a_k, r.b_k) for r in pairing.overlapping_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+    assert pairing.overlapping_cells(df, 2.0).groupBy("k", "level").count().agg(F.max("count")).first()[0] <= 16
+    near = {(r.a_k, r.b_k) for r in pairing.proximate_pairs(df, 20.0).collect()}
+    assert near == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (a[3] is None or b[3] is None) and np.hypot(a[1] - b[1], a[2] - b[2]) <= 20}
+
+
 def test_unwrapped_and_area(spark):
     r = spark.range(1).select(G.unwrapped(F.array(F.lit(170.0), F.lit(-175.0), F.lit(-160.0), F.lit(10.0))).alias("u"), G.polygon_area_km2(F.array(F.lit(0.0), F.lit(90.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0), F.lit(90.0))).alias("a")).first()
     assert r.u == [170.0, 185.0, 200.0, 370.0]
