@@ -112,7 +112,7 @@ class ChunkCache:
         bounds = np.append(starts, len(data)).astype(np.int64)
         array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         coded = array.dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # bytes, many times faster than to_pylist()
         if len(self.at) + len(chunks) > self.limit or self.used > CACHE_IDS:
             self.reset()
         entries = list(map(self.at.get, chunks))
