@@ -37,17 +37,25 @@ def imported(documents: DataFrame, methods: tuple[str, ...] = METHODS) -> DataFr
 
 
 def ground_truth(documents: DataFrame) -> DataFrame:
-    """documents (pair_id, text) with verdict, src and ref (arrays of x, y), under whichever of their names they are given."""
+    """documents (pair_id, text) with verdict, src and ref (arrays of x, y), under whichever of their names they are given.
+
+    The first name whose value is not empty counts, else the last name's value.  What is given but is no list of lists
+    has the wrong shape, and its src or ref is null.
+    """
     names = [("source_points", "target_points"), ("src_points", "ref_points"), ("source", "target")]
-    doc = F.from_json("text", ", ".join(f"{n} array<array<double>>" for pair in names for n in pair))
+    doc = F.from_json("text", ", ".join(f"{n} string" for pair in names for n in pair))
     held = documents.withColumn("doc", doc)
 
     def given(side: int) -> Column:
-        some = [F.when(F.size(F.col(f"doc.{pair[side]}")) > 0, F.col(f"doc.{pair[side]}")) for pair in names]
-        return F.coalesce(*some)
+        some = [F.when(~F.col(f"doc.{pair[side]}").isin("[]", "{}", "", "0", "0.0", "false"), F.col(f"doc.{pair[side]}")) for pair in names]
+        return F.coalesce(*some, F.col(f"doc.{names[-1][side]}"))
+
+    def listed(c: str) -> Column:
+        points = F.from_json(c, "array<array<double>>")
+        return F.when(~F.exists(points, lambda p: p.isNull()), points)
 
-    held = held.withColumns({"src": given(0), "ref": given(1)}).drop("doc")
-    flat = lambda c: F.exists(c, lambda p: F.coalesce(F.size(p) != 2, F.lit(True)))
-    verdict = (F.when(F.col("src").isNull() | F.col("ref").isNull(), "NO_POINTS").when((F.size("src") != F.size("ref")) | flat("src") | flat("ref"), "BAD_SHAPE")
+    held = held.withColumns({"given_src": given(0), "given_ref": given(1)}).withColumns({"src": listed("given_src"), "ref": listed("given_ref")})
+    flat = lambda c: F.coalesce(F.exists(c, lambda p: F.size(p) != 2), F.lit(True))
+    verdict = (F.when(F.col("given_src").isNull() | F.col("given_ref").isNull(), "NO_POINTS").when(flat("src") | flat("ref") | (F.size("src") != F.size("ref")) | (F.size("src") == 0), "BAD_SHAPE")
                .when(F.size("src") < 4, "TOO_FEW_POINTS").otherwise("OK"))
-    return held.withColumn("verdict", verdict)
+    return held.withColumn("verdict", verdict).drop("doc", "given_src", "given_ref")

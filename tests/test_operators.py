@@ -519,3 +519,27 @@ def test_command_line():
     import craterloom.__main__ as cli
 
     assert cli.main(["list"]) == 0 and cli.main([]) == 2 and cli.main(["show", "nothing", "/"]) == 2
+
+
+def test_ground_truth_given_in_the_wrong_shape(spark):
+    from craterloom.sources import control
+
+    four = "[[1, 2], [3, 4], [5, 6], [7, 8]]"
+    docs = {
+        "OK 4": f'{{"src_points": {four}, "target_points": [], "target": {four}}}', "NO_POINTS None": f'{{"source": {four}}}', "BAD_SHAPE None": f'{{"source": {four}, "target": [1, 2, 3, 4]}}',
+        "BAD_SHAPE 0": f'{{"source": {four}, "target": []}}', "NO_POINTS None ": f'{{"source": {four}, "target_points": []}}', "BAD_SHAPE 4": f'{{"source": {four}, "target": [[1], [2], [3], [4]]}}',
+        "TOO_FEW_POINTS 1": '{"source": [[1, 2]], "target": [[1, 2]]}', "BAD_SHAPE 0 ": '{"source": [], "target": []}',
+    }
+    df = spark.createDataFrame(list(docs.items()), "name string, text string")
+    got = control.ground_truth(df).select("name", "verdict", F.expr("if(ref is null, null, size(ref))").alias("n")).collect()
+    assert {r.name: f"{r.verdict} {r.n}" for r in got} == {n: n.strip() for n in docs}
+
+
+def test_ground_truth_of_pairs_under_two_rules(spark, tmp_path):
+    """Pair 86 is the first one whose document breaks the shape and holds no points."""
+    from craterloom.plans import files
+
+    rows = [(pair * 300 + i, i + 1) for pair in (5, 6, 56, 86) for i in range(5)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.pair_id: (r.verdict, r.points) for r in files.s19_ground_truth(spark, str(tmp_path)).collect()}
+    assert got == {5: ("BAD_SHAPE", 5), 6: ("NO_POINTS", None), 56: ("NO_POINTS", None), 86: ("BAD_SHAPE", None)}
