@@ -140,7 +140,7 @@ def close_pairs(points: DataFrame, radius: float) -> DataFrame:
     return _met(points, radius).select("pair_id", F.col("a_tp_id").alias("strong"), F.col("b_tp_id").alias("weak"), "distance")
 
 
-#: Close pairs of points of one image pair that one task settles (24 bytes each).
+#: Close pairs of points of one image pair that one task settles (32 bytes each).
 SETTLED_AT_ONCE = 2_000_000
 
 
@@ -151,13 +151,11 @@ def seam_survivors(points: DataFrame, radius: float = 4.0, at_once: int = SETTLE
     settled round by round over many tasks instead, with the same result: each round keeps the undecided points without an
     undecided stronger neighbour and drops their neighbours; rounds are checkpointed.
     """
-    edges = close_pairs(points, radius).select("pair_id", "strong", "weak").checkpoint()
+    edges = _met(points, radius).select("pair_id", F.col("a_tp_id").alias("strong"), F.col("b_tp_id").alias("weak"), F.col("a_confidence").alias("confidence")).checkpoint()
     most = edges.groupBy("pair_id").count().agg(F.max("count")).first()[0]
     if most is None:
         return points
     if most <= at_once:
-        strength = points.select("pair_id", F.col("tp_id").alias("strong"), "confidence")
-
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             gone: set[int] = set()
             for strong, weak in pdf.sort_values(["confidence", "strong"], ascending=[False, True])[["strong", "weak"]].itertuples(index=False):
@@ -165,20 +163,21 @@ def seam_survivors(points: DataFrame, radius: float = 4.0, at_once: int = SETTLE
                     gone.add(weak)
             return pd.DataFrame({"pair_id": np.full(len(gone), pdf["pair_id"].iloc[0]), "tp_id": np.array(sorted(gone), np.int64)})
 
-        dropped = edges.join(strength, ["pair_id", "strong"]).groupBy("pair_id").applyInPandas(run, "pair_id long, tp_id long")
-        return points.join(dropped, ["pair_id", "tp_id"], "left_anti")
-    return points.join(_settled_in_rounds(edges), ["pair_id", "tp_id"], "left_anti")
+        dropped = edges.groupBy("pair_id").applyInPandas(run, "pair_id long, tp_id long")
+    else:
+        dropped = _settled_in_rounds(edges.drop("confidence"))
+    return points.join(dropped.hint("merge"), ["pair_id", "tp_id"], "left_anti")
 
 
 def _settled_in_rounds(edges: DataFrame) -> DataFrame:
     left, dropped = edges, edges.select("pair_id", F.col("weak").alias("tp_id")).limit(0)
     while not left.isEmpty():
         weak = left.select("pair_id", F.col("weak").alias("tp_id")).distinct()
-        keep = left.select("pair_id", F.col("strong").alias("tp_id")).distinct().join(weak, ["pair_id", "tp_id"], "left_anti")
-        gone = left.join(keep.withColumnRenamed("tp_id", "strong"), ["pair_id", "strong"], "left_semi").select("pair_id", F.col("weak").alias("tp_id")).distinct().checkpoint()
+        keep = left.select("pair_id", F.col("strong").alias("tp_id")).distinct().join(weak.hint("merge"), ["pair_id", "tp_id"], "left_anti")
+        gone = left.join(keep.withColumnRenamed("tp_id", "strong").hint("merge"), ["pair_id", "strong"], "left_semi").select("pair_id", F.col("weak").alias("tp_id")).distinct().checkpoint()
         dropped = dropped.unionByName(gone)
-        left = left.join(gone.withColumnRenamed("tp_id", "weak"), ["pair_id", "weak"], "left_anti")
-        left = left.join(gone.withColumnRenamed("tp_id", "strong"), ["pair_id", "strong"], "left_anti").select("pair_id", "strong", "weak").checkpoint()
+        left = left.join(gone.withColumnRenamed("tp_id", "weak").hint("merge"), ["pair_id", "weak"], "left_anti")
+        left = left.join(gone.withColumnRenamed("tp_id", "strong").hint("merge"), ["pair_id", "strong"], "left_anti").select("pair_id", "strong", "weak").checkpoint()
     return dropped
 
 

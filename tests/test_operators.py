@@ -559,3 +559,11 @@ def test_close_pairs_at_cell_borders_are_never_broadcast(spark):
     got = [(r.strong, r.weak) for r in df.collect()]
     want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and (-a[6], a[1]) < (-b[6], b[1]) and np.hypot(a[4] - b[4], a[5] - b[5]) <= 24}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_seam_suppression_is_never_broadcast(spark):
+    ensure_checkpoint_dir(spark)
+    df = points(spark, [(0, i, 0.0, 0.0, float(i), 0.0, float(i % 5)) for i in range(30)])
+    for at_once in (10**6, 0):
+        plan = plan_of(thinning.seam_survivors(df, 2.0, at_once))
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
