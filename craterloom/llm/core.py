@@ -42,12 +42,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 #: With this, Spark drops an execution's shuffle files when it ends (4.1 on; unknown to older ones, which drop them later).
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bytes of a batch of rows that go to a Python worker at once; Spark's own default is 64 MB.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-def written(df: DataFrame, name: str, release: bool = True, **options) -> DataFrame:
+
+def written(df: DataFrame, name: str, release: bool = True, batch_bytes: int | None = None, **options) -> DataFrame:
     """The rows of df, written once to the shared folder and read back: cuts lineage and survives lost executors.
 
     The files go when the session's file system closes.  Shuffle files of the write go when it ends, as nothing
     else reads them.  With release, memory of what is no longer referred to is given back at once.
+    batch_bytes: the most that goes to a Python worker at once (a longer row goes alone), unless the session has less.
     options: of Spark's Parquet writer.
     """
     spark = df.sparkSession
@@ -56,6 +60,10 @@ def written(df: DataFrame, name: str, release: bool = True, **options) -> DataFr
         if tuple(map(int, spark.version.split(".")[:2])) >= (4, 1):
             after.callback(spark.conf.set, CLEAN_UP, spark.conf.get(CLEAN_UP))
             spark.conf.set(CLEAN_UP, "true")
+            limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(ARROW_BYTES))
+            if batch_bytes and not 0 < limit <= batch_bytes:
+                after.callback(spark.conf.set, ARROW_BYTES, str(limit))
+                spark.conf.set(ARROW_BYTES, str(batch_bytes))
         df.write.options(**options).parquet(path)
     forget_on_exit(spark, path)
     if release:

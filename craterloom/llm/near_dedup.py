@@ -47,6 +47,9 @@ HASHES, ROWS = 128, 4
 BATCH, MISS = 32, 1e-10
 BLOCK, BLOCK_BYTES, LEAST, PIVOTS = 2048, 8 << 20, 64, 4
 
+#: Bytes of rows with texts that an executor and its worker hold at once, several times over, for each task.
+BATCH_BYTES = 4 << 20
+
 
 def least_matches(threshold: float, miss: float = MISS, hashes: int = HASHES, batch: int = BATCH) -> list[int]:
     """After each batch, the fewest matching hashes with which a pair still stands.
@@ -243,7 +246,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     rows = rows.select("id", "text", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"))
-    prints = written(_fingerprint(rows, width), "shingles")
+    prints = written(_fingerprint(rows, width), "shingles", batch_bytes=BATCH_BYTES)
     classes = written(
         prints.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("uid", "id", "k1", "k2", "bytes")).alias("rep"), F.min("id").alias("least"), F.first("keys").alias("keys")),
         "classes")
@@ -261,7 +264,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
         active = of_text.join(classes.select("rep.*"), "uid")
         same = [rows["id"].eqNullSafe(active["id"]), rows["k1"] == active["k1"], rows["k2"] == active["k2"]]
         texts = rows.join(active, same[0] & same[1] & same[2]).select(active["uid"], active["root"], rows["text"], active["tasks"])
-        return written(_verified(_members(texts, width), width, percent, across), "links")
+        return written(_verified(_members(texts, width), width, percent, across), "links", batch_bytes=BATCH_BYTES)
 
     hot = bool(chosen.where("blocks > 1").limit(1).count())
     found = links(_asked_of_blocks(banded, chosen, hot).withColumn("root", F.col("uid")), False)

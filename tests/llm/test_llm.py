@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from craterloom.llm import bpe, chat, components, exact_dedup, langid, licenses, near_dedup, packing, queries, shingles, suffix_array, topk, wavelet
 from craterloom.llm.chunks import ChunkCache, library_cache, tokenizer_path
-from craterloom.llm.core import text_bytes
+from craterloom.llm.core import ARROW_BYTES, text_bytes
 from craterloom.llm.shingles import MinHash
 
 BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
@@ -750,6 +750,28 @@ def test_near_empty_and_drop(spark):
     assert sorted(r.doc_id for r in kept) == sorted({x[2] for x in brute_near(rows, 3, 85)}) and all(r.uid == "x" for r in kept)
 
 
+def test_near_batches_of_long_texts(spark, tmp_path, monkeypatch):
+    """Workers get texts in batches of a few MB, however many rows those are; what the session had set holds again after."""
+    tidied = near_dedup.tidy
+
+    def noting(run):
+        def noted(batches):
+            for b in batches:
+                (tmp_path / f"{b.num_columns}-{random.random()}").write_text(str(b.nbytes))
+                yield b
+
+        return tidied(lambda batches: run(noted(batches)))
+
+    monkeypatch.setattr(near_dedup, "tidy", noting)
+    base, held = words(4000, 77), spark.conf.get(ARROW_BYTES)
+    rows = [(i, f"{base} {i} {i}") for i in range(250)]
+    got = near_dedup.near_groups(documents(spark, rows).coalesce(1), 3, 85).collect()
+    assert len(got) == 250 and {r.component_id for r in got} == {0}
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert sum(sizes) > 20_000_000 and max(sizes) < near_dedup.BLOCK_BYTES * 5 // 8
+    assert spark.conf.get(ARROW_BYTES).removesuffix("b") == held.removesuffix("b")
+
+
 def test_words_that_fool_polynomial_hashes(spark):
     thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
     other = thue.translate(str.maketrans("ab", "ba"))
